@@ -178,11 +178,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u2").tobytes()
+        encode, end = encoder(tokenizer).encode_all, np.array([end_id], "<u2").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
-                ids = np.frombuffer(encode(text) + end, dtype="<u2").astype("<u4")
+            for doc_id, own in zip(batch.column(0), encode(texts_of(batch.column(1))), strict=True):
+                ids = np.frombuffer(own + end, dtype="<u2").astype("<u4")
                 for k in range(0, len(ids), capacity):
                     data = ids[k : k + capacity].tobytes()
                     for column, value in zip(out, (doc_id.as_py(), k // capacity, k, len(data) // 4, zlib.crc32(data), data), strict=True):

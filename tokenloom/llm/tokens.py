@@ -3,13 +3,19 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-#: A space that is not alone between two other characters; such a text is split with more care.
-ODD = re.compile(r"\s |  |^ | $| \s")
+import numpy as np
+
+#: Blanks other than the space; a text with one, with a space at an end or with two in a row is split with more care.
+BLANK = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LONE = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers: those of late, and as many from before.
+REMEMBERED = 700_000
+#: Characters of texts whose new pieces are encoded together.
+GROUPED = 1 << 20
+#: Stands between pieces where a tokenizer gives it one id.
+MARK = "\x01"
 
 
 def pieces(text: str) -> list[str]:
@@ -17,21 +23,8 @@ def pieces(text: str) -> list[str]:
 
     Byte-level pre-tokenizers put such a space at the head of the next token and never look across it, so
     the pieces' ids, each but the first with its space, are the text's ids."""
-    return LONE.split(text) if ODD.search(text) else text.split(" ")
-
-
-class _Known(dict):
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.encode(self.lead + piece)
-        if len(piece) > 200:
-            return ids
-        self[piece] = ids
-        return ids
+    odd = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or any(b in text for b in BLANK)
+    return LONE.split(text) if odd else text.split(" ")
 
 
 class TextEncoder:
@@ -39,19 +32,79 @@ class TextEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        if tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
+        self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids over 65535 don't fit")
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ids = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        self.first, self.later = _Known(self.ids, ""), _Known(self.ids, " ")
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.widths = None
+        if type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None:
+            self.widths = np.zeros(1 << 16, np.int64)  # a byte-level token has a character for each of its bytes
+            for token, i in self.tokenizer.get_vocab().items():
+                self.widths[i] = len(token)
+        mark = self.tokenizer.encode(" x " + MARK + " x", add_special_tokens=False).ids
+        self.mark = mark[1] if len(mark) == 3 and self.widths is None else None
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of each piece, with a space before it: all are encoded as one text.  Where a piece begins
+        is told by the tokens' bytes, by a mark between pieces that has an id of its own, or by offsets."""
+        if self.mark is not None:
+            alone = {p: np.asarray(self.tokenizer.encode(" " + p, add_special_tokens=False).ids, dtype="<u2").tobytes() for p in new if MARK in p}
+            new = [p for p in new if MARK not in p]
+            if not new:
+                return alone
+            ids = np.asarray(self.tokenizer.encode_batch_fast([f" {MARK} ".join(new)], add_special_tokens=False)[0].ids, dtype="<u2")
+            cuts = (np.flatnonzero(ids == self.mark) * 2).tolist()
+            spans = map(slice, [0, *(c + 2 for c in cuts)], [*cuts, 2 * len(ids)])
+            return alone | dict(zip(new, map(ids.tobytes().__getitem__, spans), strict=True))
+        encode = self.tokenizer.encode_batch if self.widths is None else self.tokenizer.encode_batch_fast  # the latter has no offsets
+        found = encode([" " + " ".join(new)], add_special_tokens=False)[0]
+        ids = np.asarray(found.ids, dtype="<u2")
+        if self.widths is not None:
+            sizes, begin = [len(p.encode()) + 1 for p in new], self.widths[ids]
+            begin = np.cumsum(begin) - begin
+        else:
+            sizes, begin = [len(p) + 1 for p in new], np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+        starts = np.cumsum(sizes) - sizes
+        at = (np.searchsorted(begin, starts) * 2).tolist()
+        return dict(zip(new, map(ids.tobytes().__getitem__, map(slice, at, [*at[1:], 2 * len(ids)])), strict=True))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        parts, known = [pieces(t) for t in texts], self.known
+        heads = [np.asarray(x.ids, dtype="<u2").tobytes() for x in self.tokenizer.encode_batch_fast([own[0] for own in parts], add_special_tokens=False)]
+        found = [[head, *map(known.get, own[1:])] for head, own in zip(heads, parts, strict=True)]
+        gaps = [[i for i, ids in enumerate(got) if ids is None] if None in got else () for got in found]
+        new = {own[i] for own, gap in zip(parts, gaps, strict=True) for i in gap}
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                self.before, known = known, {}
+                self.known = known
+            known.update({p: self.before[p] for p in new if p in self.before})
+            unseen = [p for p in new if p not in known]
+            for i in range(0, len(unseen), 1000):
+                known.update(self.learn(unseen[i : i + 1000]))
+            for own, got, gap in zip(parts, found, gaps, strict=True):
+                for i in gap:
+                    got[i] = known[own[i]]
+        return [b"".join(got) for got in found]
 
     def encode(self, text: str) -> bytes:
-        parts = pieces(text)
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        return self.encode_many([text])[0]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """ids of each text, in order; GROUPED characters or so are looked at together."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUPED:
+                yield from self.encode_many(group)
+                group, size = [], 0
+        if group:
+            yield from self.encode_many(group)
 
 
 _encoders: dict[str, TextEncoder] = {}

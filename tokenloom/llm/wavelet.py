@@ -29,7 +29,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, now = [], [], ids
         for k in range(bits - 1, -1, -1):
-            one = (now >> k & 1).astype(bool)
+            one = (now & ids.dtype.type(1 << k)) != 0
             planes.append(np.packbits(one, bitorder="little"))
             low = now[~one]
             zeros.append(len(low))
@@ -142,7 +142,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode_all
         end, seq, held, names, lengths, total = np.array([end_id], "<u2").tobytes(), 0, [], [], [], 0
 
         def flush():
@@ -151,8 +151,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [name], "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), texts_of(batch.column(1)), strict=True):
-                ids = encode(text) + end
+            for doc_id, own in zip(batch.column(0), encode(texts_of(batch.column(1))), strict=True):
+                ids = own + end
                 names.append(doc_id.as_py()), lengths.append(len(ids) // 2), held.append(ids)
                 total += len(ids) // 2
                 if total >= shard_tokens:
