@@ -171,11 +171,11 @@ def slots(runs: list[tuple[list[tuple[int, int]], int]]) -> dict[int, dict[str,
     return out
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids: documents with their end id, only longer ones cut."""
+def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: documents with their end id, only longer ones cut."""
     import pyarrow as pa
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).encode_all, np.array([end_id], "<u2").tobytes()
@@ -185,13 +185,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                 ids = np.frombuffer(own + end, dtype="<u2").astype("<u4")
                 for k in range(0, len(ids), capacity):
                     data = ids[k : k + capacity].tobytes()
-                    for column, value in zip(out, (doc_id.as_py(), k // capacity, k, len(data) // 4, zlib.crc32(data), data), strict=True):
+                    for column, value in zip(out, (doc_id.as_py(), k // capacity, k, len(data) // 4, zlib.crc32(data), data), strict=False):
                         column.append(value)
             types = [batch.schema[0].type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return map_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -235,5 +235,4 @@ def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_
 
     A null or empty text is one piece with the end id alone.  Repeated rows are packed each; an empty table
     gives no rows; other columns are not looked at."""
-    made = tokenized_pieces(docs, tokenizer, capacity, end_id)
-    return pack(made if with_ids else made.drop("ids"), capacity)
+    return pack(tokenized_pieces(docs, tokenizer, capacity, end_id, with_ids=with_ids), capacity)
