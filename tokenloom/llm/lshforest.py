@@ -118,8 +118,9 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
         term, owner = term[often], owner[often]
         _, term = np.unique(term, return_inverse=True)
         shared = np.zeros((len(left), len(right)), np.float32)
-        width = max(1, 8_000_000 // len(sets))
-        cuts = np.searchsorted(term, np.arange(0, (int(term[-1]) + 1 if len(term) else 0) + width, width))
+        terms = int(term[-1]) + 1 if len(term) else 0
+        width = max(1, min(terms, 8_000_000 // len(sets)))
+        cuts = np.searchsorted(term, np.arange(0, terms + width, width))
         for k in range(len(cuts) - 1):
             part = slice(cuts[k], cuts[k + 1])
             grid = np.zeros((len(sets), width), np.float32)
