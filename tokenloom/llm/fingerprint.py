@@ -6,7 +6,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_of, let, materialize, text_of, words_of
+from .common import NULL_ID, key_of, let, materialize, text_of, words_of
 
 SHINGLE = 5
 BIN_BITS = 8
@@ -102,21 +102,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The next document is that with the next lower id; a null id is the lowest.  Rows with one id are
     kept each; as someone's next document they count once, with the smallest text.  A null text is
     empty; an empty table gives no rows; other columns are not looked at."""
-    rows = docs.select(key_of(id_col).alias("_k"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    rows = docs.select(key_of(id_col).alias("_k"), text_of(text_col).alias("_text"))  # one exchange of texts serves both joins
     pairs, twice = neighbours(docs, id_col, text_col)
-    tails = pairs.join(rows.select(F.col("_k").alias("_next"), "_text", "_id"), "_next").select(F.col("_k").alias("_own"), F.expr("substring(_text, 1, cast(_need as int))").alias("_tail"), "_next")
+    tails = pairs.join(rows.select(F.col("_k").alias("_next"), "_text"), "_next").select(F.col("_k").alias("_own"), F.expr("substring(_text, 1, cast(_need as int))").alias("_tail"), "_next")
     if twice:
         tails = tails.groupBy("_own").agg(F.min("_tail").alias("_tail"), F.max("_next").alias("_next"))
     joined = rows.join(tails, rows["_k"] == tails["_own"])
     n = F.char_length("_text")
     edited = F.expr("concat(substring(_text, 1, char_length(_text) - char_length(_text) div 2), substring(_tail, 1, cast(char_length(_text) div 2 as int)))")
-    made = joined.select("_k", "_id", "_next", n.cast("long").alias("n_chars"), F.col("_text"), edited.alias("_edited"))
-    made = made.select("_k", "_id", "_next", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), codes_of(F.col("_text")).alias("codes"), codes_of(F.col("_edited")).alias("edited_codes"))
+    made = joined.select("_k", "_next", n.cast("long").alias("n_chars"), F.col("_text"), edited.alias("_edited"))
+    made = made.select("_k", "_next", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), codes_of(F.col("_text")).alias("codes"), codes_of(F.col("_edited")).alias("edited_codes"))
     made = materialize(made, "codes")
     nexts = made.select(F.col("_k").alias("_nk"), F.col("codes").alias("next_codes"))
     if twice:
         nexts = nexts.groupBy("_nk").agg(F.min("next_codes").alias("next_codes"))
-    return made.join(nexts, F.col("_next") == F.col("_nk")).select(F.col("_id").alias("doc_id"), "n_chars", "edited_sha256", "codes", "edited_codes", "next_codes")
+    return made.join(nexts, F.col("_next") == F.col("_nk")).select(F.nullif(F.col("_k"), F.lit(NULL_ID)).cast(docs.schema[id_col].dataType).alias("doc_id"), "n_chars", "edited_sha256", "codes", "edited_codes", "next_codes")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
