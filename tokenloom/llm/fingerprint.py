@@ -13,6 +13,8 @@ BIN_BITS = 8
 BINS = 1 << BIN_BITS
 CODE_BITS = 8
 PROBES = 16
+#: Codes are kept as signed bytes.
+CODE_SHIFT = 1 << (CODE_BITS - 1)
 
 
 def _ints(values) -> Column:
@@ -59,15 +61,15 @@ def codes_of(text: Column) -> Column:
     def fill(d: Column) -> Column:
         far = lambda i: F.array_min(F.transform(d, lambda v, b: F.when(v.isNotNull(), F.struct(F.xxhash64(i, b).alias("order"), v.alias("value")))))["value"]
         full = F.transform(d, lambda v, i: F.coalesce(v, *[F.get(d, F.get(p, i)) for p in probes], far(i)))
-        return F.transform(full, lambda v: v.bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("smallint"))
+        return F.transform(full, lambda v: (v.bitwiseAND(F.lit((1 << CODE_BITS) - 1)) - CODE_SHIFT).cast("tinyint"))
 
-    none = F.array().cast("array<smallint>")
+    none = F.array().cast("array<tinyint>")
     return let(shingle_hashes(text), lambda h: F.when(F.size(h) == 0, none).otherwise(let(F.sort_array(F.concat(h, marks)), lambda s: let(minima(s), fill))))
 
 
 def hex_of(codes: Column) -> Column:
     table = F.expr("array(" + ", ".join(f"'{i:02x}'" for i in range(1 << CODE_BITS)) + ")")
-    return F.array_join(F.transform(codes, lambda c: F.get(table, c)), "")
+    return F.array_join(F.transform(codes, lambda c: F.get(table, c.cast("int") + CODE_SHIFT)), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -97,7 +99,7 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, codes, edited_codes, next_codes per document.
+    """doc_id, n_chars, edited_sha256, codes, edited (codes as bytes), near_edited, next_codes per document.
 
     The next document is that with the next lower id; a null id is the lowest.  Rows with one id are
     kept each; as someone's next document they count once, with the smallest text.  A null text is
@@ -111,16 +113,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.char_length("_text")
     edited = F.expr("concat(substring(_text, 1, char_length(_text) - char_length(_text) div 2), substring(_tail, 1, cast(char_length(_text) div 2 as int)))")
     made = joined.select("_k", "_next", n.cast("long").alias("n_chars"), F.col("_text"), edited.alias("_edited"))
-    made = made.select("_k", "_next", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), codes_of(F.col("_text")).alias("codes"), codes_of(F.col("_edited")).alias("edited_codes"))
+    made = made.select("_k", "_next", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), codes_of(F.col("_text")).alias("codes"), codes_of(F.col("_edited")).alias("_e"))
+    made = made.select("_k", "_next", "n_chars", "edited_sha256", "codes", F.unhex(hex_of(F.col("_e"))).alias("edited"), likeness(F.col("codes"), F.col("_e")).alias("near_edited"))
     made = materialize(made, "codes")
     nexts = made.select(F.col("_k").alias("_nk"), F.col("codes").alias("next_codes"))
     if twice:
         nexts = nexts.groupBy("_nk").agg(F.min("next_codes").alias("next_codes"))
-    return made.join(nexts, F.col("_next") == F.col("_nk")).select(F.nullif(F.col("_k"), F.lit(NULL_ID)).cast(docs.schema[id_col].dataType).alias("doc_id"), "n_chars", "edited_sha256", "codes", "edited_codes", "next_codes")
+    return made.join(nexts, F.col("_next") == F.col("_nk")).select(F.nullif(F.col("_k"), F.lit(NULL_ID)).cast(docs.schema[id_col].dataType).alias("doc_id"), "n_chars", "edited_sha256", "codes", "edited", "near_edited", "next_codes")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     f = fingerprints(docs)
     return f.select(
-        "doc_id", "n_chars", "edited_sha256", hex_of(F.col("codes")).alias("fingerprint"), hex_of(F.col("edited_codes")).alias("edited_fingerprint"),
-        likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"), likeness(F.col("codes"), F.col("next_codes")).alias("near_next"))
+        "doc_id", "n_chars", "edited_sha256", hex_of(F.col("codes")).alias("fingerprint"), F.lower(F.hex("edited")).alias("edited_fingerprint"),
+        "near_edited", likeness(F.col("codes"), F.col("next_codes")).alias("near_next"))
