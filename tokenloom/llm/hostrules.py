@@ -10,6 +10,8 @@ from .common import BLANKS, let, materialize, text_of, words_of
 HOST_LIMIT = 0.5
 #: Weight of the prior, in documents, where the hosts' rates don't vary more than chance.
 FLAT_PRIOR = 100.0
+#: So many host names are broadcast at most.
+FEW_HOSTS = 100_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -76,10 +78,11 @@ def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 def judge(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """measured with `_kept`: neither base_failed nor of a rejected host.
 
-    Only rejected hosts are joined back; Spark broadcasts them while they are few and else splits a hot
-    host's rows over tasks (adaptive skew join)."""
-    bad = host_verdicts(measured, limit).where("rejected").select(F.col("_host").alias("_bad_host"), F.lit(True).alias("_bad"))
-    joined = measured.join(bad, F.col("_host").eqNullSafe(F.col("_bad_host")), "left")
+    Only rejected hosts are joined back, broadcast while they are at most FEW_HOSTS, so that no text moves;
+    beyond that Spark splits a hot host's rows over tasks (adaptive skew join)."""
+    bad = materialize(host_verdicts(measured, limit).where("rejected").select(F.col("_host").alias("_bad_host"), F.lit(True).alias("_bad")), "hosts")
+    few = bad.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS
+    joined = measured.join(F.broadcast(bad) if few else bad, F.col("_host").eqNullSafe(F.col("_bad_host")), "left")
     return joined.withColumn("_kept", ~F.col("_base_failed") & F.col("_bad").isNull()).drop("_bad", "_bad_host")
 
 
