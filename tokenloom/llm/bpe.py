@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .tokens import REMEMBERED, pieces, texts_of
+from .tokens import REMEMBERED, kept, pieces, release, texts_of
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -174,9 +174,11 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+kept.append(_codecs)
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
+    release(_codecs)
     if (ranks_path, pattern) not in _codecs:
         _codecs[ranks_path, pattern] = Codec(ranks_path, pattern)
     return _codecs[ranks_path, pattern]

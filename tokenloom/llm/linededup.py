@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, key_of, map_arrow, materialize, text_of
-from .tokens import texts_of
+from .tokens import release, texts_of
 
 PASS_WORDS = 50
 GRAM_WORDS = 25
@@ -61,6 +61,7 @@ def line_table(docs: DataFrame, pass_words: int, gram_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest as digest
 
+        release()
         for batch in batches:
             rows = []
             for k, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
@@ -85,6 +86,7 @@ def extended(table: DataFrame, pass_words: int, gram_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest as digest
 
+        release()
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for k, t, lines, hashes, counts, prints, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, key_of, map_arrow, materialize, text_of
-from .tokens import texts_of
+from .tokens import release, texts_of
 
 SHINGLE, THRESHOLD, TARGET, TREES, DEEPEST, BLOCK = 5, 0.8, 0.999, 20, 8, 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +89,7 @@ def signatures(rows: DataFrame, depth: int, trees: int, n: int) -> DataFrame:
     factors, offsets = permutations(depth * trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingles = Shingler(n)
         for batch in batches:
             keys = []
@@ -235,6 +236,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def shingled(batches):
         import pyarrow as pa
 
+        release()
         shingles = Shingler(n)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((shingles(t).tobytes() for t in texts_of(batch.column(2))), pa.binary())], ["h", "keys", "shingles"])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize, ship
-from .tokens import encoder, texts_of
+from .tokens import encoder, release, texts_of
 
 #: (part, groups): pieces longer than capacity / part are large, and in so many groups.  Each is planned
 #: and the plan with the fewest sequences holds; small pieces hide what rounding up leaves free, few or
@@ -213,6 +213,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     columns = [c for c in pieces.columns]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for frame in batches:
             sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
             lengths, ranks = frame["length"].to_numpy(), frame["_rank"].to_numpy()

@@ -110,7 +110,19 @@ class TextEncoder:
 _encoders: dict[str, TextEncoder] = {}
 
 
+#: What else a worker of this process keeps between tasks.
+kept: list[dict] = [_encoders]
+
+
+def release(but: dict | None = None) -> None:
+    """Forgets what earlier operators keep in this worker, so that their memory doesn't add up."""
+    for x in kept:
+        if x is not but:
+            x.clear()
+
+
 def encoder(path: str) -> TextEncoder:
+    release(_encoders)
     if path not in _encoders:
         _encoders[path] = TextEncoder(path)
     return _encoders[path]
