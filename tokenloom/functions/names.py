@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,6 @@ def canonical(raw: str, rules: list[tuple[str, str]]) -> str:
 
 def canonicalize(df: DataFrame, column: str, rules: list[tuple[str, str]]) -> DataFrame:
     """df with model_id.  Distinct spellings alone go through Python; the result is joined back."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def mapped(raw: pd.Series) -> pd.Series:
         return raw.map(lambda r: canonical(r, rules), na_action="ignore")
