@@ -31,9 +31,9 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             one = (now & ids.dtype.type(1 << k)) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            low = now[~one]
+            high, low = np.flatnonzero(one), np.flatnonzero(~one)  # indices are much faster here than masks
             zeros.append(len(low))
-            now = np.concatenate((low, now[one]))
+            now = np.concatenate((now[low], now[high]))
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -43,7 +43,7 @@ class WaveletMatrix:
             one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             now[z:] |= now.dtype.type(1 << k)
             up = np.empty_like(now)
-            up[~one], up[one] = now[:z], now[z:]
+            up[np.flatnonzero(~one)], up[np.flatnonzero(one)] = now[:z], now[z:]
             now = up
         return now
 
