@@ -18,6 +18,13 @@ BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
+def parted(one: np.ndarray, width: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+    """Where zeros and ones stand in each part of a plane, and the part."""
+    for i in range(0, len(one), width):
+        here = slice(i, i + width)
+        yield np.flatnonzero(~one[here]), np.flatnonzero(one[here]), here
+
+
 class WaveletMatrix:
     """A sequence of ids below 2**bits as bits planes, highest bit first; each plane lists one bit of all ids,
     and the next plane has the ids stably parted into zeros, then ones."""
@@ -31,9 +38,13 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             one = (now & ids.dtype.type(1 << k)) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            high, low = np.flatnonzero(one), np.flatnonzero(~one)  # indices are much faster here than masks
-            zeros.append(len(low))
-            now = np.concatenate((now[low], now[high]))
+            z = len(one) - int(np.count_nonzero(one))
+            zeros.append(z)
+            up, at, to = np.empty_like(now), 0, z
+            for low, high, here in parted(one):  # indices into a part are much faster than masks of all
+                up[at : at + len(low)], up[to : to + len(high)] = now[here][low], now[here][high]
+                at, to = at + len(low), to + len(high)
+            now = up
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
@@ -42,8 +53,10 @@ class WaveletMatrix:
         for k, (plane, z) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             now[z:] |= now.dtype.type(1 << k)
-            up = np.empty_like(now)
-            up[np.flatnonzero(~one)], up[np.flatnonzero(one)] = now[:z], now[z:]
+            up, at, to = np.empty_like(now), 0, z
+            for low, high, here in parted(one):
+                up[here][low], up[here][high] = now[at : at + len(low)], now[to : to + len(high)]
+                at, to = at + len(low), to + len(high)
             now = up
         return now
 
