@@ -7,13 +7,17 @@ later only add entries, and after an edit only entries up to where the tables ag
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .tokens import REMEMBERED, kept, pieces, release, texts_of
+from .tokens import kept, release, texts_of
+
+#: Matches that a worker remembers (those of late, and as many from before), and pairs of tokens.
+MATCHES, PAIRS = 500_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -27,7 +31,7 @@ class Bpe:
         self.longest = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int]] = {}
         self.edges: dict[tuple[int, bool], list[int]] = {}
-        self.may: dict[tuple[int, int], bool] = {}
+        self.may: dict[int, bool] = {}
 
     def half(self, token: int) -> tuple[int, int]:
         """The two tokens of which the merges make this one."""
@@ -72,11 +76,11 @@ class Bpe:
                 j += 1
 
     def can_follow(self, a: int, b: int) -> bool:
-        found = self.may.get((a, b))
+        found = self.may.get(a << 32 | b)
         if found is None:
-            if len(self.may) > 2_000_000:
+            if len(self.may) >= PAIRS:
                 self.may.clear()
-            found = self.may[a, b] = self.follows(a, b)
+            found = self.may[a << 32 | b] = self.follows(a, b)
         return found
 
     def last_token(self, text: bytes, end: int, last: list[int]) -> int:
@@ -97,10 +101,23 @@ class PrefixTable:
         self.append(text)
 
     def append(self, more: bytes) -> None:
-        end = len(self.text)
-        self.text += more
-        for i in range(end + 1, len(self.text) + 1):
-            self.last.append(self.bpe.last_token(self.text, i, self.last))
+        """last_token() for each new prefix, with everything at hand."""
+        first = len(self.text) + 1
+        text = self.text = self.text + more
+        last, rank, longest, may, follows = self.last, self.bpe.ranks.get, self.bpe.longest, self.bpe.may, self.bpe.can_follow
+        for end in range(first, len(text) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = rank(text[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    before = last[start]
+                    ok = may.get(before << 32 | token)
+                    if ok or ok is None and follows(before, token):
+                        break
+            else:
+                raise ValueError(f"no token ends with byte {text[end - 1]}")
+            last.append(token)
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Puts new in place of text[start:end]; returns how many entries had to be found anew.
@@ -138,36 +155,33 @@ class Codec:
 
         self.np, self.find = np, regex.compile(pattern).findall
         self.bpe = Bpe(read_ranks(ranks_path))
-        self.matches: dict[str, list[int]] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def match_ids(self, match: str) -> list[int]:
-        ids = self.matches.get(match)
-        if ids is None:
-            text = match.encode()
-            whole = self.bpe.ranks.get(text)
-            ids = [whole] if whole is not None else PrefixTable(self.bpe, text).ids()
-            if len(match) <= 200:
-                if len(self.matches) >= REMEMBERED:
-                    self.matches.clear()
-                self.matches[match] = ids
-        return ids
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def match_ids(self, match: str) -> bytes:
+        """The ids of one match of the pattern."""
+        text = match.encode()
+        whole = self.bpe.ranks.get(text)
+        ids = [whole] if whole is not None else PrefixTable(self.bpe, text).ids()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out, known, lead = [], self.first, ""
-        for piece in pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.np.array([i for m in self.find(lead + piece) for i in self.match_ids(m)], dtype="<u4").tobytes()
-                if len(piece) <= 200:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-            known, lead = self.later, " "
-        return b"".join(out)
+        """Ids as little-endian unsigned 32-bit integers; a match is encoded once while it is remembered."""
+        matches, known = self.find(text), self.known
+        found = list(map(known.get, matches))
+        if None in found:
+            if len(known) >= MATCHES:
+                self.before, known = known, {}
+                self.known = known
+            before = self.before
+            for i, ids in enumerate(found):
+                if ids is None:
+                    match = matches[i]
+                    ids = known.get(match) or before.get(match) or self.match_ids(match)
+                    if len(match) <= 200:
+                        known[match] = ids
+                    found[i] = ids
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bpe.bytes_of.__getitem__, self.np.frombuffer(ids, dtype="<u4").tolist()))
