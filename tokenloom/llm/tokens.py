@@ -40,6 +40,8 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        #: A mark behind a letter is a match of its own for every pattern in use, so a word's ids go before it.
+        self.tails = {c: np.asarray(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u2").tobytes() for c in ".,"}
         self.widths = None
         if type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None:
             self.widths = np.zeros(1 << 16, np.int64)  # a byte-level token has a character for each of its bytes
@@ -83,9 +85,14 @@ class TextEncoder:
                 self.before, known = known, {}
                 self.known = known
             known.update({p: self.before[p] for p in new if p in self.before})
-            unseen = [p for p in new if p not in known]
-            for i in range(0, len(unseen), 1000):
-                known.update(self.learn(unseen[i : i + 1000]))
+            unseen = {p for p in new if p not in known}
+            ended = {p: p[:-1] for p in unseen if p[-1:] in self.tails and p[-2:-1].isalpha()}
+            stems = set(ended.values())
+            known.update({p: self.before[p] for p in stems if p not in known and p in self.before})
+            fresh = [p for p in (unseen - ended.keys()) | stems if p not in known]
+            for i in range(0, len(fresh), 1000):
+                known.update(self.learn(fresh[i : i + 1000]))
+            known.update({p: known[stem] + self.tails[p[-1]] for p, stem in ended.items()})
             for own, got, gap in zip(parts, found, gaps, strict=True):
                 for i in gap:
                     got[i] = known[own[i]]
