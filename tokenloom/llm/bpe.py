@@ -17,7 +17,7 @@ from .common import map_arrow
 from .tokens import kept, release, texts_of
 
 #: Matches that a worker remembers (those of late, and as many from before), and pairs of tokens.
-MATCHES, PAIRS = 500_000, 400_000
+MATCHES, PAIRS = 350_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
