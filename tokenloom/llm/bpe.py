@@ -226,8 +226,24 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return map_arrow(encoded, run, f"doc_id {encoded.schema[0].dataType.simpleString()}, ids binary, text_bytes binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode(), then decode() of the ids, in one worker and a few rows at a time."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = codec(ranks_path, pattern)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                ids = [made.encode(t) for t in texts_of(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(map(made.decode, ids), pa.binary())], ["doc_id", "ids", "text_bytes"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, ids binary, text_bytes binary")
+
+
 def round_trip_report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    made = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    made = round_trip(docs, ranks_path, pattern)
     return made.select(
         "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256"))
