@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize, new_path, read_file, write_file
 from .tokens import encoder, texts_of
 
-MAGIC = b"WVMX0001"
+MAGIC = b"WVMX0002"
 #: Bits between two stored ranks.
 BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -25,18 +25,29 @@ def parted(one: np.ndarray, width: int = 1 << 18) -> Iterator[tuple[np.ndarray,
         yield np.flatnonzero(~one[here]), np.flatnonzero(one[here]), here
 
 
+def coded(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in ascending order, and for each id its place among them."""
+    if ids.dtype.itemsize > 2:
+        alphabet, codes = np.unique(ids, return_inverse=True)
+        return alphabet.astype("<u4"), codes.astype(np.uint32)
+    seen = np.zeros(1 << 16, bool)
+    seen[ids] = True
+    return np.flatnonzero(seen).astype("<u4"), np.take((np.cumsum(seen) - 1).astype(np.uint16), ids, mode="clip")
+
+
 class WaveletMatrix:
-    """A sequence of ids below 2**bits as bits planes, highest bit first; each plane lists one bit of all ids,
-    and the next plane has the ids stably parted into zeros, then ones."""
+    """A sequence of ids as bit planes over its effective alphabet: a code is an id's place among the distinct
+    ids, and there are as many planes as the largest code has bits.  Highest bit first, each plane lists one
+    bit of all codes, and the next plane has the codes stably parted into zeros, then ones."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros, self._ranks = n, planes, zeros, {}
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], alphabet: np.ndarray):
+        self.n, self.planes, self.zeros, self.alphabet, self._ranks = n, planes, zeros, alphabet, {}
 
     @classmethod
-    def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, zeros, now = [], [], ids
-        for k in range(bits - 1, -1, -1):
-            one = (now & ids.dtype.type(1 << k)) != 0
+    def build(cls, ids: np.ndarray) -> WaveletMatrix:
+        planes, zeros, (alphabet, now) = [], [], coded(ids)
+        for k in range(max(len(alphabet) - 1, 1).bit_length() - 1, -1, -1):
+            one = (now & now.dtype.type(1 << k)) != 0
             planes.append(np.packbits(one, bitorder="little"))
             z = len(one) - int(np.count_nonzero(one))
             zeros.append(z)
@@ -45,7 +56,7 @@ class WaveletMatrix:
                 up[at : at + len(low)], up[to : to + len(high)] = now[here][low], now[here][high]
                 at, to = at + len(low), to + len(high)
             now = up
-        return cls(len(ids), planes, zeros)
+        return cls(len(ids), planes, zeros, alphabet)
 
     def decode(self) -> np.ndarray:
         """All ids in order: from the last plane up, each plane says where its zeros and ones came from."""
@@ -58,7 +69,7 @@ class WaveletMatrix:
                 up[here][low], up[here][high] = now[at : at + len(low)], now[to : to + len(high)]
                 at, to = at + len(low), to + len(high)
             now = up
-        return now
+        return np.take(self.alphabet, now, mode="clip") if self.n else np.zeros(0, "<u4")
 
     def ones(self, level: int, i: int) -> int:
         """Rank: how many ones the first i bits of a plane have."""
@@ -88,39 +99,47 @@ class WaveletMatrix:
             bit = int(self.planes[level][i // 8]) >> (i % 8) & 1
             value = value << 1 | bit
             i = z + self.ones(level, i) if bit else i - self.ones(level, i)
-        return value
+        return int(self.alphabet[value])
+
+    def _code(self, token: int) -> int | None:
+        code = int(np.searchsorted(self.alphabet, token))
+        return code if code < len(self.alphabet) and self.alphabet[code] == token else None
 
-    def _span(self, token: int, start: int, end: int) -> tuple[int, int]:
-        if token >> len(self.planes):
+    def _span(self, code: int | None, start: int, end: int) -> tuple[int, int]:
+        if code is None:
             return 0, 0
         for level, z in enumerate(self.zeros):
             a, b = self.ones(level, start), self.ones(level, end)
-            start, end = (z + a, z + b) if token >> (len(self.planes) - 1 - level) & 1 else (start - a, end - b)
+            start, end = (z + a, z + b) if code >> (len(self.planes) - 1 - level) & 1 else (start - a, end - b)
         return start, end
 
     def count(self, token: int, start: int = 0, end: int | None = None) -> int:
-        a, b = self._span(token, start, self.n if end is None else end)
+        a, b = self._span(self._code(token), start, self.n if end is None else end)
         return b - a
 
     def occurrence(self, token: int, nth: int) -> int:
         """The index of the nth occurrence (from 0) of a token."""
-        a, b = self._span(token, 0, self.n)
+        code = self._code(token)
+        a, b = self._span(code, 0, self.n)
         if not 0 <= nth < b - a:
             raise IndexError(nth)
         i = a + nth
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = token >> (len(self.planes) - 1 - level) & 1
+            bit = code >> (len(self.planes) - 1 - level) & 1
             i = self.place(level, bit, i - self.zeros[level] if bit else i)
         return i
 
 
-def pack_shard(doc_ids: list, lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
-    """A shard as one file: magic, header length, JSON header, then zstd frames of document ids, lengths and planes."""
+def pack_shard(doc_ids: list, lengths: list[int], ids: np.ndarray, bits: int = 16) -> bytes:
+    """A shard as one file: magic, header length, JSON header, then zstd frames of document ids, lengths, alphabet and planes.
+    Ids must be below 2**bits."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    made = WaveletMatrix.build(ids, bits)
-    frames = [squeeze(json.dumps(doc_ids).encode()), squeeze(np.asarray(lengths, dtype="<i8").tobytes()), *(squeeze(p.tobytes()) for p in made.planes)]
+    made = WaveletMatrix.build(ids)
+    if len(made.alphabet) and int(made.alphabet[-1]) >> bits:
+        raise ValueError(f"an id needs more than {bits} bits")
+    frames = [squeeze(json.dumps(doc_ids).encode()), squeeze(np.asarray(lengths, dtype="<i8").tobytes()), squeeze(made.alphabet.tobytes()), *(squeeze(p.tobytes()) for p in made.planes)]
     header = json.dumps({"n": made.n, "zeros": made.zeros, "frames": list(map(len, frames))}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *frames])
 
@@ -136,8 +155,8 @@ def open_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     for length in header["frames"]:
         frames.append(zstandard.ZstdDecompressor().decompress(data[at : at + length]))
         at += length
-    planes = [np.frombuffer(f, dtype=np.uint8) for f in frames[2:]]
-    return json.loads(frames[0]), np.frombuffer(frames[1], dtype="<i8"), WaveletMatrix(header["n"], planes, header["zeros"])
+    planes = [np.frombuffer(f, dtype=np.uint8) for f in frames[3:]]
+    return json.loads(frames[0]), np.frombuffer(frames[1], dtype="<i8"), WaveletMatrix(header["n"], planes, header["zeros"], np.frombuffer(frames[2], dtype="<u4"))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, shard_tokens: int = 4_000_000, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +207,7 @@ def read_shards(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names, lengths, matrix = open_shard(read_file(path))
-                ids, ends = matrix.decode().astype("<u4"), np.cumsum(lengths)
+                ids, ends = matrix.decode(), np.cumsum(lengths)
                 for i in range(0, len(names), 2000):
                     j = min(i + 2000, len(names))
                     at = [int(ends[k] - lengths[k]) for k in range(i, j)]
