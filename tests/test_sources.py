@@ -3,7 +3,8 @@ import sqlite3
 
 from pyspark.sql import functions as F
 
-from tokenloom.sources import readers
+from tokenloom.plans.queries import PRICE_COLUMNS
+from tokenloom.sources import artifacts, catalogs, readers
 from tokenloom.streaming import incremental
 
 
@@ -43,3 +44,53 @@ def test_stream_dedup_and_hours(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.table("deduped").count() == 5
     assert incremental.hourly(df).agg(F.sum("records")).first()[0] == 6
+
+
+def told(df):
+    return [tuple(r[c] for c in ("session_id", "model_id", "provider_id", "timestamp_ms", *readers.TOKENS)) for r in df.orderBy("input_path", "input_seq").collect()]
+
+
+def put(folder, name, content):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text(content if isinstance(content, str) else json.dumps(content))
+
+
+def test_artifacts(spark, tmp_path):
+    say = {"type": "say", "say": "api_req_started", "ts": 1704067200000, "modelInfo": {"providerId": "p", "modelId": "m"}}
+    texts = [{"tokensIn": 10, "tokensOut": 2, "cacheReads": 3, "cacheWrites": 1}, {"tokensIn": 1, "tokensOut": 2, "cacheReads": 3}, {"tokensIn": 0}]
+    put(tmp_path / "roo/t1", "ui_messages.json", [*({**say, "text": json.dumps(t)} for t in texts), {"type": "ask"}, {**say, "text": "no json"}])
+    put(tmp_path / "roo/t2", "ui_messages.json", "{damaged")
+    assert told(artifacts.read_artifacts(spark, "roocode", str(tmp_path / "roo"))) == [("t1", "m", "p", 1704067200000, 6, 2, 3, 1, 0)]
+    put(tmp_path / "mux/s", "session-usage.json", {"byModel": {"a:m:1": {"input": {"tokens": 4}, "reasoning": {"tokens": 2}}, "n": {"output": {"tokens": 1}}, "z": {}}, "lastRequest": {"timestamp": 5}})
+    assert sorted(told(artifacts.read_artifacts(spark, "mux", str(tmp_path / "mux")))) == [("s", "m:1", "a", 5, 4, 0, 0, 0, 2), ("s", "n", None, 5, 0, 1, 0, 0, 0)]
+    entry = {"role": "assistant", "ts": 1704067200000, "metrics": {"inputTokens": 9, "outputTokens": 1, "cacheReadTokens": 4, "cacheWriteTokens": 5}, "modelInfo": {"id": "m"}}
+    put(tmp_path / "cl", "x.messages.json", {"version": 1, "sessionId": "s", "messages": [{"role": "user"}, entry]})
+    put(tmp_path / "cl", "y.messages.json", {"version": 2, "sessionId": "s", "messages": [entry]})
+    assert told(artifacts.read_artifacts(spark, "cline", str(tmp_path / "cl"))) == [("s", "m", None, 1704067200000, 0, 1, 4, 5, 0)]
+    put(tmp_path / "dr", "q.settings.json", {"model": "m", "providerLockTimestamp": "2024-01-01T00:00:00Z", "tokenUsage": {"inputTokens": 1, "thinkingTokens": 2}})
+    assert told(artifacts.read_artifacts(spark, "droid", str(tmp_path / "dr"))) == [("q", "m", None, 1704067200000, 1, 0, 0, 0, 2)]
+
+
+def test_openclaw_carries_the_model(spark, tmp_path):
+    def message(**more):
+        return json.dumps({"type": "message", "message": {"role": "assistant", "timestamp": 7, "usage": {"input": 1}, **more}})
+
+    lines = [message(), json.dumps({"type": "model_change", "modelId": "a", "provider": "p"}), message(), message(model="b"), message(), message(provider="q"), "{damaged", message(), json.dumps({"type": "custom", "customType": "model-snapshot", "data": {"modelId": "c", "provider": "r"}}), message(timestamp=0), message()]
+    put(tmp_path, "s.jsonl", "\n".join(lines))
+    assert [(r[1], r[2]) for r in told(artifacts.read_openclaw(spark, str(tmp_path)))] == [(None, None), ("a", "p"), ("b", None), ("b", None), ("b", "q"), (None, None), ("c", "r")]
+
+
+def test_catalogs(spark, tmp_path):
+    put(tmp_path, "l.json", {"P1/M0": {"input_cost_per_token": 1e-6, "output_cost_per_token": "x", "mode": "chat"}, "github_copilot/m": {"input_cost_per_token": 1}})
+    put(tmp_path, "o.json", {"data": [{"id": "p/m", "pricing": {"prompt": "0.5", "completion": "-1"}}, {"id": "p/any", "pricing": {"prompt": "-1", "completion": "-1"}}]})
+    put(tmp_path, "d.json", {"P": {"models": {"M": {"cost": {"input": 3, "output": 6}}, "N": {"cost": {"input": 3}}, "O": {}}}})
+    found = [catalogs.litellm(spark, str(tmp_path / "l.json")), catalogs.openrouter(spark, str(tmp_path / "o.json")), catalogs.models_dev(spark, str(tmp_path / "d.json"))]
+    assert [tuple(r[c] for c in ("key", "model", "owner", "input", "output")) for df in found for r in df.collect()] == [("p1/m0", "m0", "p1", 1e-6, None), ("p/m", "m", "p", 0.5, None), ("p/m", "m", "p", 3e-6, 6e-6)]
+    assert found[0].unionByName(found[1]).unionByName(found[2]).columns == PRICE_COLUMNS
+
+
+def test_all_clients_in_one_frame(spark, tmp_path):
+    put(tmp_path / "dr", "q.settings.json", {"model": "m", "tokenUsage": {"inputTokens": 1}})
+    put(tmp_path / "oc", "s.jsonl", json.dumps({"type": "message", "message": {"role": "assistant", "model": "n", "timestamp": 7, "usage": {"input": 2}}}))
+    rows = readers.read_all(spark, {"openclaw": str(tmp_path / "oc"), "droid": str(tmp_path / "dr")}).collect()
+    assert sorted((r["client"], r["model_id"], r["tok_input"]) for r in rows) == [("droid", "m", 1), ("openclaw", "n", 2)]

@@ -119,7 +119,15 @@ def read_databases(spark: SparkSession, client: str, root: str, glob: str = "*.d
 
 def read_all(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """All clients' records, in one frame, in order of client id."""
-    made = [(read_lines if c in SOURCES else read_databases)(spark, c, root) for c, root in sorted(roots.items())]
+    from .artifacts import ARTIFACTS, read_artifacts, read_openclaw  # which uses this module
+
+    def read(client: str, root: str) -> DataFrame:
+        if client == "openclaw":
+            return read_openclaw(spark, root)
+        kind = read_lines if client in SOURCES else read_artifacts if client in ARTIFACTS else read_databases
+        return kind(spark, client, root)
+
+    made = [read(c, root) for c, root in sorted(roots.items())]
     out = made[0]
     for more in made[1:]:
         out = out.unionByName(more)
