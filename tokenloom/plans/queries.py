@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import imputation, names
-from ..operators import facts, pricing, quality, rankings
+from ..operators import facts, pricing, quality, rankings, reports
 from .adapter import TOKENS, USAGE_SQL, usage
 
 TODAY = dt.date(2024, 1, 30)
@@ -232,6 +232,18 @@ query("cost_provenance", f"""WITH {_PICKED} SELECT u.client, bool_and(x.catalog
 query("pricing_diagnostics", f"WITH {_PICKED} SELECT u.model_id || ': no-price' AS diagnostic, count(*) AS records FROM usage u LEFT JOIN x ON x.model_id = u.model_id AND x.provider_id = u.provider_id WHERE x.catalog IS NULL GROUP BY 1")(
     over(lambda u: priced(u).where("catalog is null").groupBy(F.concat("model_id", F.lit(": no-price")).alias("diagnostic")).agg(F.count(F.lit(1)).alias("records"))))
 
+query("models_table", f"""SELECT CASE WHEN grouping(model_id) = 1 THEN 'TOTAL' ELSE model_id END AS label, grouping(model_id) = 1 AS is_total, {ALL}, {COST},
+  CASE WHEN sum(tokens) > 0 THEN CAST(sum(cost_micros) AS BIGINT) / CAST(sum(tokens) AS BIGINT) END AS cost_per_million, CAST(sum(tok_output) + sum(tok_reasoning) AS BIGINT) AS displayed_output FROM usage GROUP BY GROUPING SETS ((model_id), ())""")(
+    over(lambda u: reports.models_table(facts.fine_models(u))))
+query("input_footprint", """SELECT c.client, count(DISTINCT u.session_id) AS sessions, count(u.input_seq) AS records FROM (VALUES ('click'), ('purchase'), ('absent')) c(client) LEFT JOIN usage u ON u.client = c.client GROUP BY c.client""")(
+    over(lambda u: reports.footprint(u, ["click", "purchase", "absent"])))
+LABELS = {"/data": "any", "/data/local": "laptop", "/data/local/ws": "shared", "/data/local/ws/3": "three", "/data/re": "none"}
+query("machine_labels", """WITH p AS (SELECT input_seq, '/data/' || machine || '/' || coalesce(workspace_key, 'none') || '/' || session_id AS path FROM usage)
+  SELECT input_seq, CASE WHEN path LIKE '/data/local/ws/3/%' THEN 'three' WHEN path LIKE '/data/local/ws/%' THEN 'shared' WHEN path LIKE '/data/local/%' THEN 'laptop' ELSE 'any' END AS label FROM p""")(
+    over(lambda u: u.select("input_seq", reports.machine_label(F.concat_ws("/", F.lit("/data"), "machine", F.coalesce("workspace_key", F.lit("none")), "session_id"), LABELS).alias("label"))))
+query("inventory_fingerprint", """SELECT client, count(*)::VARCHAR || ':' || sum(CAST('0x' || substr(md5(session_id || '|' || tokens::VARCHAR), 1, 15) AS BIGINT))::VARCHAR AS fingerprint FROM usage GROUP BY client""")(
+    over(lambda u: reports.inventory_fingerprint(u, "session_id", "tokens")))
+
 
 def _tiers(u: DataFrame) -> DataFrame:
     tier = F.when(F.col("input_seq") % 4 == 1, "priority").when(F.col("input_seq") % 4 == 2, "flex").when(F.col("input_seq") % 4 == 3, "turbo")
