@@ -242,3 +242,37 @@ def test_hot_host_and_shrinking(spark):
     rows = [(i, bad if i % 10 else good, "junk") for i in range(200)] + [(1000 + i, good, "fine") for i in range(400)] + [(2000, bad, "tiny"), (2001, good, "tiny"), (2002, good, None)]
     got = {r["doc_id"]: r["kept"] for r in hostrules.quality_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
     assert not got[0] and got[1000] and got[2001] and got[2002]
+
+
+def test_wavelet_shards_give_the_librarys_ids(spark, odd):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.where("doc_id is not null").collect()), key=lambda r: r[0])
+    start, want = 0, []
+    for doc_id, text in rows:
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+        start += len(ids)
+    for size in (4_000_000, 100):  # files of one document or a few, and one file a partition
+        read = wavelet.read_shards(wavelet.write_shards(odd.where("doc_id is not null"), P.path("byte_bpe_50k.json"), 2, shard_tokens=size)).collect()
+        got = [(r["doc_id"], r["start"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in read]
+        assert sorted((g[0], *g[2:]) for g in got) == sorted((w[0], *w[2:]) for w in want)
+
+
+def test_wavelet_query_on_whole_documents(spark, sf_dir, docs):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    start, want = 0, []
+    for doc_id in sorted(docs):
+        ids = [*library.encode(docs[doc_id], add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r[c] for c in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in registry.op8_wavelet_shards(spark, sf_dir).collect()) == want
