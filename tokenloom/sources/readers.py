@@ -119,11 +119,14 @@ def read_databases(spark: SparkSession, client: str, root: str, glob: str = "*.d
 
 def read_all(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """All clients' records, in one frame, in order of client id."""
-    from .artifacts import ARTIFACTS, read_artifacts, read_openclaw  # which uses this module
+    from .artifacts import ARTIFACTS, read_artifacts, read_openclaw  # which use this module
+    from .cumulative import read_codex
 
     def read(client: str, root: str) -> DataFrame:
         if client == "openclaw":
             return read_openclaw(spark, root)
+        if client == "codex":
+            return read_codex(spark, root)
         kind = read_lines if client in SOURCES else read_artifacts if client in ARTIFACTS else read_databases
         return kind(spark, client, root)
 
