@@ -179,6 +179,18 @@ def test_main_text(spark):
     assert htmltext.extract_report(odd.limit(0)).count() == 0
 
 
+def test_main_text_closes_what_html_closes():
+    story = "<article><p>One of the two<p>and the other</article>"
+    cells = "<table><tr>" + "<td>cell" * 300 + "</table>"
+    assert htmltext.main_text(f"<aside>{cells}</aside>{story}") == "One of the two\nand the other"
+    assert htmltext.main_text(f"<article><p>Own text{cells}</article><p>© not of the article") == "Own text\n" + "\n".join(["cell"] * 300)
+    assert htmltext.main_text(f"<aside>{'<div>' * 300}x</aside>{story}") == "One of the two\nand the other"
+    for open_tag in ("<head><title>t</title><meta charset=x>", "<div><button>Go</div>", "<div><select><option>a<option>b</div>", "<div><form><input></div>", "<form><input>", "<noscript>", "<svg/>", "<form><input>" + story + "<form>x</form>"):
+        assert htmltext.main_text(f"{open_tag}{story}").endswith("One of the two\nand the other"), open_tag
+    assert htmltext.main_text(f"<form><div>{story}</form>") == htmltext.main_text(f"<script>{story}") == ""
+    assert htmltext.main_text("<article>" + "<button>x" * 20000).split() == ["x"] * 20000
+
+
 def test_fingerprint_estimates_likeness(spark, sf_dir, docs):
     def shingles(text):
         w = WORDS(text)

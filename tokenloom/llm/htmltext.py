@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -29,11 +30,19 @@ al algo como con cuando del desde donde él el ella en entre era es esta este fu
 no nos o para pero por porque que quien se ser si sin sobre son su sus también tiene un una uno y ya yo
 """.split())
 
-DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|head|select|textarea|button|form"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements whose text isn't the page's.  RAW ones, unclosed, go on to the end as in HTML; the others are dropped
+#: only if they are closed, and by the first closing tag; all but NESTING ones also end where one of their kind opens.
+RAW = "script|style|textarea"
+DROPPED = frozenset("noscript template svg math iframe object canvas audio video select button title".split())
+NESTING = frozenset("template svg math object".split())
+SAME = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I) for tag in DROPPED | {"form"}}
+OPTIONS = re.compile(r"(?:\s*</?(?:option|optgroup)\b[^>]*>[^<]*)*", re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose region matters to what is inside them.
 REGION = frozenset("article aside blockquote body details dialog div dl figure footer form header html main menu nav ol section table td ul p span".split())
+#: Tags that end an open cell of their table.
+CELL = frozenset("td th tr tbody thead tfoot".split())
 VOID = frozenset("br hr img input link meta wbr col area base embed source track".split())
 #: Names, in class, id or role, of regions that aren't the article.
 FOREIGN = re.compile(
@@ -49,13 +58,15 @@ WORD = re.compile(r"\w+")
 #: Lengths in characters, densities as shares of words or characters.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINK_HIGH = 70, 200, 0.05, 0.12, 0.35
 GOOD, BAD, UNSURE = 1, 0, -1
+#: The region of a form, whose blocks are left out.
+GONE = -2
 
 
 def region_of(tag: str, attributes: str, outer: int | None) -> int | None:
     """What a region says of its blocks: BAD, GOOD, or what the outer one says.  In a bad one all is bad."""
-    if outer == BAD:
-        return BAD
-    if tag in ("nav", "footer", "aside", "form", "menu", "dialog") or (tag == "header" and outer != GOOD):
+    if outer in (BAD, GONE):
+        return outer
+    if tag in ("nav", "footer", "aside", "menu", "dialog") or (tag == "header" and outer != GOOD):
         return BAD
     if tag in ("article", "main"):
         outer = GOOD
@@ -73,9 +84,11 @@ def region_of(tag: str, attributes: str, outer: int | None) -> int | None:
 
 
 def blocks(page: str) -> list[tuple[str, int, int | None]]:
-    """(text, characters in links, region) of each block with text, in page order."""
+    """(text, characters in links, region) of each block with text, in page order; none of a form's."""
     out: list[tuple[str, int, int | None]] = []
     stack: list[tuple[str, int | None]] = []
+    opened: dict[str, list[int]] = defaultdict(list)  # tag -> its places in the stack
+    unclosed: set[str] = set()
     region: int | None = None
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
@@ -84,16 +97,33 @@ def blocks(page: str) -> list[tuple[str, int, int | None]]:
         nonlocal parts, linked
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts)).replace("\x00", " ")).strip()
-            if text:
+            if text and region != GONE:
                 out.append((text, linked, region))
             parts, linked = [], 0
 
-    for m in TOKEN.finditer(page):
+    def leave(i: int) -> None:
+        nonlocal region
+        while len(stack) > i:
+            opened[stack.pop()[0]].pop()
+        region = stack[-1][1] if stack else None
+
+    def closed(tag: str) -> int:
+        """Where the element that opened just before at is closed, or -1."""
+        if tag in unclosed:
+            return -1
+        end = SAME[tag].search(page, at)
+        while end and not end[1] and tag in NESTING:
+            end = SAME[tag].search(page, end.end())
+        if end is None:
+            unclosed.add(tag)
+        return end.end() if end and end[1] else -1
+
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             raw = page[at : m.start()]
             parts.append(raw)
             if in_link:
-                linked += len(raw.strip())
+                linked += len(SPACE.sub(" ", html.unescape(raw)).strip())
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -101,39 +131,41 @@ def blocks(page: str) -> list[tuple[str, int, int | None]]:
                 parts.append(" ") if parts else None
             continue
         tag = tag.lower()
+        if tag in DROPPED:
+            if not m[2] and not (tag in ("svg", "math") and m[4].rstrip().endswith("/")):
+                end = closed(tag)
+                at = end if end >= 0 else OPTIONS.match(page, at).end() if tag == "select" else at
+            parts.append(" ") if parts else None
+            continue
         if tag in BLOCK:
             close()
+            if not m[2] and opened["p"]:
+                leave(opened["p"][-1])
         elif tag in ("br", "img", "wbr"):
             parts.append(" ") if tag == "br" else None
         if tag == "a":
             in_link = not m[2]
+        if tag in CELL:
+            if opened["td"] and opened["td"][-1] > (opened["table"][-1] if opened["table"] else -1):
+                leave(opened["td"][-1])
+                in_link = False
+            if m[2]:
+                continue
         if tag in REGION and tag not in VOID:
             if m[2]:
-                for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                    if stack[i][0] == tag:
-                        if tag not in ("p", "span") or i == len(stack) - 1:
-                            if tag == "span" and stack[i][1] != (stack[i - 1][1] if i else None):
-                                close()
-                            del stack[i:]
-                            region = stack[-1][1] if stack else None
-                            in_link = False if tag != "span" else in_link
-                        break
-            elif not m[4].rstrip().endswith("/"):
-                if tag != "span" or m[4]:
-                    if tag == "p" and stack and stack[-1][0] == "p":
-                        stack.pop()
-                        region = stack[-1][1] if stack else None
-                    elif tag != "span" and stack and stack[-1][0] == "p":
-                        stack.pop()
-                        region = stack[-1][1] if stack else None
-                    inner = region_of(tag, m[4], region)
-                    if tag == "span":
-                        if inner == region:
-                            stack.append((tag, inner))
-                            continue
+                if opened[tag] and (tag != "span" or opened[tag][-1] == len(stack) - 1):
+                    i = opened[tag][-1]
+                    if tag == "span" and stack[i][1] != (stack[i - 1][1] if i else None):
                         close()
-                    stack.append((tag, inner))
-                    region = inner
+                    leave(i)
+                    in_link = False if tag != "span" else in_link
+            elif not m[4].rstrip().endswith("/"):
+                inner = GONE if tag == "form" and region != GONE and closed(tag) >= 0 else region_of(tag, m[4], region)
+                if tag == "span" and inner != region:
+                    close()
+                opened[tag].append(len(stack))
+                stack.append((tag, inner))
+                region = inner
     if at < len(page):
         parts.append(page[at:])
     close()
