@@ -191,6 +191,23 @@ def test_main_text_closes_what_html_closes():
     assert htmltext.main_text("<article>" + "<button>x" * 20000).split() == ["x"] * 20000
 
 
+def test_main_text_weighs_regions_and_densities():
+    story = ("This is the text of the story and it is long enough to be good in every way. " * 3).strip()
+    middle = "It has one more paragraph of middle length, and that is a part of the story too."
+    want = f"Title\n{story}\n{middle}\nShort.\n{story}"
+    body = f"<h1>Title</h1><p>{story}</p><p>{middle}<p>Short.</p><p>{story}</p>"
+    for around in ("<div class='wrapper has-sidebar'>{}</div>", "<div class='wrapper has-sidebar'><article>{}</article></div>", "<main class='site-main right-sidebar'>{}</main>", "<div class='wrapper has-sidebar'><article><header>{}</article></div>"):
+        page = f"<nav>Home</nav>{around.format(body)}<div class=ad>Buy the best of all the things</div><div class=sidebar><p>{middle}</p></div><footer>{story}</footer>"
+        assert htmltext.main_text(page) == want, around
+    lost = f"<div class='wrapper has-sidebar'><article><p>{middle}</article></div><aside>{story}</aside>"
+    assert htmltext.main_text(lost) == middle
+    links = "<p><a href=x>A headline of another page, which is about what was in the news today, and more</a></p>"
+    for around in ("<main>{}</main>", "<article>{}</article>", "<div class=content>{}</div>"):
+        assert htmltext.main_text(around.format(f"<p>{middle}</p>{links}<p>Short.</p>")) == f"{middle}\nShort."
+        assert htmltext.main_text(around.format("<p>Only <a href=x>half a link</a></p>")) == "Only half a link"
+    assert htmltext.main_text(f"<article><p>{middle}</article><div id=comments><p>Yes, I like it<p>{middle}<p>No</div>") == middle
+
+
 def test_fingerprint_estimates_likeness(spark, sf_dir, docs):
     def shingles(text):
         w = WORDS(text)

@@ -1,14 +1,20 @@
 """Main text of web pages by two passes over blocks.
 
-Pass one decides what it can: a block in a region that says what it is (navigation, footer, advert, form,
-comments ...; or the article itself) by the region, any other by link density, length and the density of
-stop words.  Pass two gives the undecided, short blocks the label of the nearest decided neighbours."""
+Pass one weighs each block by link density, length and the density of stop words, and by the region it is
+in.  Navigation, footers, asides, menus, dialogs, forms and what is hidden are out.  Other regions are
+evidence: in one that says that it is the article, a block stays unless it is mostly links; in one whose
+name is foreign (advert, comments, sidebar ...), a block goes unless it is long and has many stop words; in
+an article within a foreign region the densities decide alone, as where nothing is said.  Pass two gives the
+undecided blocks the label of the nearest decided neighbours; where there is evidence, of those in the same
+region, and that of the evidence if there are none or, in a foreign region, if less than half of it is text
+that stays."""
 from __future__ import annotations
 
 import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +51,7 @@ REGION = frozenset("article aside blockquote body details dialog div dl figure f
 CELL = frozenset("td th tr tbody thead tfoot".split())
 VOID = frozenset("br hr img input link meta wbr col area base embed source track".split())
 #: Names, in class, id or role, of regions that aren't the article.
-FOREIGN = re.compile(
+FOREIGN_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|captcha|comments?(?:list|section|area)?|consent|contentinfo|cookies?|copyright|dialog|disqus|disclaimer|dropdown|footer|footnav|gdpr|"
     r"header|hidden|login|masthead|menu\w*|modal|nav\w*|newsletter|notice|notices|notification|overlay|pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|"
     r"sidebar\w*|signup|skip|social|sponsor\w*|subscribe|tags?|teaser|toolbar|topbar|widget\w*|complementary|navigation|alert|responses|discussion)(?:$|[\s_-])", re.I)
@@ -56,31 +62,37 @@ SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
 
 #: Lengths in characters, densities as shares of words or characters.
-SHORT, LONG, STOP_LOW, STOP_HIGH, LINK_HIGH = 70, 200, 0.05, 0.12, 0.35
+SHORT, LONG, STOP_LOW, STOP_HIGH, LINK_HIGH, LINK_MOST = 70, 200, 0.05, 0.12, 0.35, 0.8
 GOOD, BAD, UNSURE = 1, 0, -1
 #: The region of a form, whose blocks are left out.
 GONE = -2
+#: The first number of a foreign region.
+FOREIGN = 2
 
 
-def region_of(tag: str, attributes: str, outer: int | None) -> int | None:
-    """What a region says of its blocks: BAD, GOOD, or what the outer one says.  In a bad one all is bad."""
+def region_of(tag: str, attributes: str, outer: int | None, fresh: int) -> int | None:
+    """What a region says of its blocks: BAD (then all inside is), GOOD, None (nothing), or from FOREIGN on the
+    number of a foreign region: fresh, which is even, or an odd one if an article is in it."""
     if outer in (BAD, GONE):
         return outer
-    if tag in ("nav", "footer", "aside", "menu", "dialog") or (tag == "header" and outer != GOOD):
+    if tag in ("nav", "footer", "aside", "menu", "dialog"):
         return BAD
-    if tag in ("article", "main"):
-        outer = GOOD
+    contested = outer is not None and outer >= FOREIGN and outer % 2 == 1
+    own, foreign = tag in ("article", "main"), tag == "header" and outer != GOOD and not contested
     if attributes:
-        named = NAMES.findall(attributes)
-        for name, value in named:
+        for name, value in NAMES.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return BAD
-            if name in ("class", "id", "role") and tag not in ("body", "html") and FOREIGN.search(HEADING.sub("", value)):
-                return BAD
-        if tag in ("div", "section", "td") and outer is None and any(n.lower() in ("class", "id", "role", "itemprop") and OWN.search(v.strip("\"'")) for n, v in named):
-            return GOOD
-    return outer
+            if name in ("class", "id", "role") and tag not in ("body", "html") and FOREIGN_NAME.search(HEADING.sub("", value)):
+                foreign = True
+            if tag in ("div", "section", "td") and name in ("class", "id", "role", "itemprop") and OWN.search(value):
+                own = True
+    if foreign:
+        return fresh + (tag == "main" or tag == "article" and outer is None)
+    if not own or outer == GOOD or contested:
+        return outer
+    return GOOD if outer is None else fresh + 1
 
 
 def blocks(page: str) -> list[tuple[str, int, int | None]]:
@@ -89,6 +101,7 @@ def blocks(page: str) -> list[tuple[str, int, int | None]]:
     stack: list[tuple[str, int | None]] = []
     opened: dict[str, list[int]] = defaultdict(list)  # tag -> its places in the stack
     unclosed: set[str] = set()
+    fresh = count(FOREIGN, 2)
     region: int | None = None
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
@@ -160,7 +173,7 @@ def blocks(page: str) -> list[tuple[str, int, int | None]]:
                     leave(i)
                     in_link = False if tag != "span" else in_link
             elif not m[4].rstrip().endswith("/"):
-                inner = GONE if tag == "form" and region != GONE and closed(tag) >= 0 else region_of(tag, m[4], region)
+                inner = GONE if tag == "form" and region != GONE and closed(tag) >= 0 else region_of(tag, m[4], region, next(fresh))
                 if tag == "span" and inner != region:
                     close()
                 opened[tag].append(len(stack))
@@ -172,26 +185,34 @@ def blocks(page: str) -> list[tuple[str, int, int | None]]:
     return out
 
 
-def first_label(text: str, linked: int, region: int | None) -> int:
-    if region is not None:
-        return BAD if region == BAD or linked > 0.8 * len(text) and len(text) < SHORT else GOOD
+def density_label(text: str, linked: int) -> int:
     if linked > LINK_HIGH * len(text):
         return BAD
-    words = WORD.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if "©" in text and len(text) < LONG:
         return BAD
     if len(text) < SHORT:
         return UNSURE
+    words = WORD.findall(text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= STOP_HIGH:
         return GOOD
     return UNSURE if stops >= STOP_LOW or len(text) >= LONG else BAD
 
 
-def labels(found: list[tuple[str, int, int | None]]) -> list[int]:
-    """Final labels: an undecided block takes its decided neighbours' label, where they differ the nearer
-    one's, and at equal distance that of the block before it; with no decided block at all, none is kept."""
-    first = [first_label(*b) for b in found]
+def first_label(text: str, linked: int, region: int | None) -> int:
+    if region == BAD or linked > LINK_MOST * len(text):
+        return BAD
+    if region == GOOD:
+        return UNSURE if linked > LINK_HIGH * len(text) else GOOD
+    label = density_label(text, linked)
+    if region is None or region % 2 == 1:
+        return label
+    return UNSURE if label == GOOD and len(text) < LONG else label
+
+
+def settled(first: list[int], otherwise: int) -> list[int]:
+    """Undecided blocks take their decided neighbours' label, where they differ the nearer one's, and at equal
+    distance that of the block before; otherwise is the label if no block is decided."""
     left: list[tuple[int, int] | None] = []
     seen = None
     for i, x in enumerate(first):
@@ -204,12 +225,28 @@ def labels(found: list[tuple[str, int, int | None]]) -> list[int]:
         if first[i] != UNSURE:
             out[i] = first[i]
         elif a is None or b is None:
-            out[i] = (a or b or (0, BAD))[1]
+            out[i] = (a or b or (0, otherwise))[1]
         else:
             out[i] = a[1] if i - a[0] <= b[0] - i else b[1]
     return out
 
 
+def labels(found: list[tuple[str, int, int | None]]) -> list[int]:
+    """Final labels: undecided blocks follow the page's blocks where no region speaks, and else their region's."""
+    first = [first_label(*b) for b in found]
+    out = settled(first, BAD)
+    regions: dict[int, list[int]] = defaultdict(list)
+    for i, (_, _, region) in enumerate(found):
+        if region is not None and region != BAD:
+            regions[region].append(i)
+    for region, own in regions.items():
+        kept = sum(len(found[i][0]) for i in own if first[i] == GOOD)
+        follow = region == GOOD or 2 * kept >= sum(len(found[i][0]) for i in own)
+        for i, label in zip(own, settled([first[i] if follow or first[i] != UNSURE else BAD for i in own], GOOD if region == GOOD else BAD), strict=True):
+            out[i] = label
+    return out
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
     return "\n".join(text for (text, _, _), label in zip(found, labels(found), strict=True) if label == GOOD)
