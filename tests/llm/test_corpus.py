@@ -167,6 +167,37 @@ def test_line_dedup_guarantee(spark, sf_dir, docs):
         before |= set(lines)
 
 
+def test_line_dedup_leaves_shorter_runs(spark):
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    short, almost, just, head, tail = words("s", 29), [words("a", 20), words("b", 29)], [words("c", 20), words("d", 30)], words("h", 3), words("t", 9)
+    texts = [[short], [*almost, "-" * 9], [head, *just, tail], [words("x", 40), short, words("y", 40)], [words("z", 40), *almost, words("v", 40)], [words("u", 40), head, *just, tail, "end"], [just[1], *almost, just[0]]]
+    texts = ["\n".join(x) for x in texts]
+    got = [r["text"] for r in sorted(linededup.dedup_report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())]
+    assert got == [*texts[:5], words("u", 40) + "\nend", texts[6]]
+
+
+def test_line_dedup_is_exact(spark, sf_dir, docs):
+    """A line goes just if it is in a run of 50 words or more that an earlier place has."""
+    seen, want = set(), {}
+    for i in sorted(docs):
+        lines = [(n, x.strip()) for n, x in enumerate(docs[i].split("\n")) if x.split()]
+        gone = set()
+        for a in range(len(lines)):
+            total = 0
+            for e in range(a, len(lines)):
+                before, total = total, total + len(lines[e][1].split())
+                run = tuple(x for _, x in lines[a : e + 1])
+                if total >= 50:
+                    gone |= {n for n, _ in lines[a : e + 1]} if run in seen else set()
+                    seen.add(run)
+                if before >= 50 + 50:
+                    break
+        want[i] = len(gone)
+    assert {r["doc_id"]: r["n_gone"] for r in registry.op5_line_dedup(spark, sf_dir).collect()} == want
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><script>var t="</p>"</script></head><body><nav><a href=x>Home</a></nav><div class="ad">Buy the best of all the things</div>
     <article><header class="entry-header"><h1>A &amp; B</h1></header><p>One\n two<br>three<p>Four</article><div id="comments"><p>I like the text and all of it</p></div><aside>x</aside><footer>f</footer>"""

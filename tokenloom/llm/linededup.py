@@ -2,9 +2,10 @@
 
 A gram is the shortest run of lines from a line on with at least gram_words words, a window the shortest
 with at least pass_words.  Of each window the gram with the least hash is a fingerprint, so two equal runs
-of pass_words words or more share one in each window.  Equal fingerprints are matched and extended line by
-line both ways for pass_words words (beyond, other fingerprints of the run carry on); a line is deleted if
-an equal line stands at its place in a match that comes earlier in order of document and line."""
+of pass_words words or more share one in each window.  Around equal fingerprints runs are compared that just
+reach pass_words words, from their first line on or from their last line back; any longer common run is made
+up of such.  The lines of a run are deleted if an equal run comes earlier in order of document and line, so
+what is shared in runs of fewer words stays."""
 from __future__ import annotations
 
 from array import array
@@ -78,9 +79,28 @@ def line_table(docs: DataFrame, pass_words: int, gram_words: int) -> DataFrame:
     return map_arrow(docs.select("_k", "_t", "_text"), run, "_k long, _t long, lines binary, hashes binary, counts binary, prints array<struct<at:int,gram:binary>>")
 
 
+def runs_around(counts: list[int], prints: list[int], pass_words: int, gram_words: int) -> set[tuple[int, int]]:
+    """Runs (first line, end) of just pass_words words, counted from either side, with the gram of one of prints."""
+    n = len(counts)
+    grams, windows = ends(counts, gram_words), ends(counts, pass_words)
+    starts = [n - e if e >= 0 else -1 for e in reversed(ends(counts[::-1], pass_words))]  # by last line
+    out = set()
+    for p in prints:
+        first, last = p, grams[p] - 1
+        while first >= 0 and (windows[first] < 0 or windows[first] > last):
+            if windows[first] > 0:
+                out.add((first, windows[first]))
+            first -= 1
+        while last < n and starts[last] <= p:
+            if starts[last] >= 0:
+                out.add((starts[last], last + 1))
+            last += 1
+    return out
+
+
 def extended(table: DataFrame, pass_words: int, gram_words: int) -> DataFrame:
-    """A row for each line that a shared fingerprint reaches: _k, _t, line, and place, which is equal where the
-    same lines lie between the same fingerprint and the line."""
+    """A row for each run of pass_words words around a shared fingerprint: _k, _t, line (its first), lines (numbers of
+    its lines), and run, which is equal where the lines are."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,27 +108,14 @@ def extended(table: DataFrame, pass_words: int, gram_words: int) -> DataFrame:
 
         release()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for k, t, lines, hashes, counts, prints, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                number, count = array("i", lines), array("i", counts)
-                line = [hashes[i : i + 16] for i in range(0, len(hashes), 16)]
-                stops, grams = ends(list(count), gram_words), {p["at"]: p["gram"] for p in prints}
-                for p in shared:
-                    gram, stop = grams[p], stops[p]
-                    reach = [(at, digest(gram + b"=%d" % (at - p))) for at in range(p, stop)]
-                    for key, way in ((gram + b">", range(stop, len(line))), (gram + b"<", range(p - 1, -1, -1))):
-                        words = 0
-                        for at in way:
-                            key = digest(key + line[at])
-                            reach.append((at, key))
-                            words += count[at]
-                            if words >= pass_words:
-                                break
-                    for at, key in reach:
-                        out[0].append(k), out[1].append(t), out[2].append(number[at]), out[3].append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["_k", "_t", "line", "place"])
-
-    return map_arrow(table.select("_k", "_t", "lines", "hashes", "counts", "prints", "shared"), run, "_k long, _t long, line int, place binary")
+            out: list[list] = [[], [], [], [], []]
+            for k, t, lines, hashes, counts, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                number = array("i", lines)
+                for at, end in runs_around(array("i", counts).tolist(), shared, pass_words, gram_words):
+                    out[0].append(k), out[1].append(t), out[2].append(number[at]), out[3].append(number[at:end]), out[4].append(digest(hashes[16 * at : 16 * end]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()), strict=True)], ["_k", "_t", "line", "lines", "run"])
+
+    return map_arrow(table.select("_k", "_t", "lines", "hashes", "counts", "shared"), run, "_k long, _t long, line int, lines array<int>, run binary")
 
 
 def repeated_lines(keyed: DataFrame, pass_words: int = PASS_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
@@ -122,8 +129,9 @@ def repeated_lines(keyed: DataFrame, pass_words: int = PASS_WORDS, gram_words: i
     shared = prints.join(many, "gram").groupBy("_k", "_t").agg(F.array_sort(F.collect_set("at")).alias("shared"))
     reached = materialize(extended(table.join(shared, ["_k", "_t"]), pass_words, gram_words), "reached")
     place = F.struct("_k", "_t", "line")
-    first = reached.groupBy("place").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("place", "first")
-    return reached.join(first, "place").where(place != F.col("first")).groupBy("_k", "_t").agg(F.collect_set("line").alias("gone"))
+    # Written first, so that Spark can part the rows of a run that many texts have when it joins them.
+    first = materialize(reached.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("run", "first"), "firsts")
+    return reached.join(first, "run").where(place != F.col("first")).groupBy("_k", "_t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_words: int = PASS_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
