@@ -35,6 +35,33 @@ def test_database_joins_and_leaves_no_session_out(spark, tmp_path):
     assert [(r["session_id"], r["model_id"], r["provider_id"], r["tok_input"], r["tok_output"], r["tok_reasoning"], r["timestamp_ms"]) for r in rows] == [("a", "m1", "p", 4, 4, 2, 1500), ("b", "n", None, 7, 0, 5, 2000)]
 
 
+def test_opencode_has_two_tables_and_their_sessions(spark, tmp_path):
+    def data(n, **more):
+        return json.dumps({"role": "assistant", "modelID": "m", "providerID": "p", "time": {"created": 5}, "tokens": {"input": n, "output": 2, "reasoning": None, "cache": {"read": 3, "write": 4}}, **more})
+
+    def put_db(name, *tables):
+        with sqlite3.connect(tmp_path / name) as db:
+            for table, columns, rows in tables:
+                db.execute(f"CREATE TABLE {table} ({columns})")
+                db.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(columns.split(',')))})", rows)
+        db.close()
+
+    new = [("a", "s1", data(1, role=None), "assistant"), ("b", "s1", data(9), "user"), ("c", "s2", json.dumps({"model": {"id": "n", "providerID": "q"}, "time": {"created": 6.0}, "tokens": {"input": 2, "output": 0, "cache": {"read": 0, "write": 0}}}), "assistant"), ("d", "s1", "{damaged", "assistant")]
+    old = [("x", "s1", data(1)), ("y", "s3", data(7, path={"root": "c:\\w\\"})), ("z", "s3", data(8, role="user")), ("zz", "s3", data(8, tokens=None)), ("zy", "s3", data(-8)), ("zx", "s3", data(8, time=None))]
+    put_db("both.db", ("session_message", "id TEXT, session_id TEXT, data TEXT, type TEXT", new), ("message", "id TEXT, session_id TEXT, data TEXT", old), ("session_v2", "id TEXT, directory TEXT, parent_id TEXT", [("s1", "/w//v2/", None), ("s2", "", "s1")]), ("session", "id TEXT, directory TEXT", [("s1", "/other", )]))
+    put_db("new.db", ("session_message", "id TEXT, session_id TEXT, data TEXT, type TEXT", [("n", "s", data(30), "assistant")]))
+    put_db("old.db", ("message", "id TEXT, session_id TEXT, data TEXT", [("o", "s", data(40, id="own"))]))
+    put(tmp_path / "dr", "q.settings.json", {"model": "m", "tokenUsage": {"inputTokens": 1}})
+    rows = readers.read_all(spark, {"opencode": str(tmp_path), "droid": str(tmp_path / "dr")}).orderBy("client", "tok_input").collect()
+    got = [tuple(r[c] for c in ("session_id", "model_id", "provider_id", "timestamp_ms", *readers.TOKENS, "dedup_key", "workspace_key", "is_main_session")) for r in rows if r["client"] == "opencode"]
+    assert got == [
+        ("s1", "m", "p", 5, 1, 2, 3, 4, 0, "a", None, True),  # in both tables, whose sessions name two workspaces
+        ("s2", "n", "q", 6, 2, 0, 0, 0, 0, "c", None, False), ("s3", "m", "p", 5, 7, 2, 3, 4, 0, "y", "C:/w", True),
+        ("s", "m", "p", 5, 30, 2, 3, 4, 0, "n", None, True), ("s", "m", "p", 5, 40, 2, 3, 4, 0, "own", None, True),
+    ]
+    assert [(r["client"], r["workspace_key"], r["is_main_session"]) for r in rows][0] == ("droid", None, None)
+
+
 def test_stream_dedup_and_hours(spark, tmp_path):
     rows = [(i, "c", f"2024-01-01 0{i % 3}:10:00", "k" if i < 2 else None, 1) for i in range(6)]
     df = spark.createDataFrame(rows, "input_seq bigint, client string, t string, dedup_key string, n bigint").select("input_seq", "client", F.col("t").cast("timestamp").alias("ts"), "dedup_key", *[F.col("n").alias(c) for c in readers.TOKENS])

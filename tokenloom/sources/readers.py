@@ -18,6 +18,8 @@ from ..functions.calendar import decode_timestamp
 from ..plans.adapter import TOKENS
 
 COLUMNS = ["client", "model_id", "provider_id", "session_id", "timestamp_ms", *TOKENS, "message_count", "dedup_key", "input_path", "input_seq"]
+#: What only opencode's sessions say yet; null for others.
+SESSION = {"workspace_key": "string", "is_main_session": "boolean"}
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,6 @@ DATABASES = {
       UNION ALL SELECT s.model, s.billing_provider, s.id, CAST(s.started_at * 1000 AS INTEGER), s.input_tokens, s.output_tokens - min(s.reasoning_tokens, s.output_tokens), s.cache_read_tokens, s.cache_write_tokens,
       min(s.reasoning_tokens, s.output_tokens), NULL FROM sessions s WHERE NOT EXISTS (SELECT 1 FROM session_model_usage m WHERE m.session_id = s.id)""",
 }
-DATABASES["opencode"] = DATABASES["kilo"]
 
 
 def read_lines(spark: SparkSession, client: str, root: str) -> DataFrame:
@@ -92,11 +93,15 @@ def read_lines(spark: SparkSession, client: str, root: str) -> DataFrame:
 
 
 def read_databases(spark: SparkSession, client: str, root: str, glob: str = "*.db") -> DataFrame:
-    """Records of a client's SQLite files under root, one file per row of a task."""
+    """Records of a client's SQLite files under root, one file per row of a task; opencode's with SESSION's columns."""
     import pyarrow as pa
 
-    sql = DATABASES[client]
-    names = ["model_id", "provider_id", "session_id", "timestamp_ms", *TOKENS, "dedup_key"]
+    from . import opencode
+
+    rows_of = opencode.records if client == "opencode" else lambda db, sql=DATABASES.get(client): db.execute(sql).fetchall()
+    more = list(SESSION) if client == "opencode" else []
+    names = ["model_id", "provider_id", "session_id", "timestamp_ms", *TOKENS, "dedup_key", *more]
+    types = {n: "string" for n in ("model_id", "provider_id", "session_id", "dedup_key")} | SESSION
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,19 +111,19 @@ def read_databases(spark: SparkSession, client: str, root: str, glob: str = "*.d
                     with open(name, "wb") as f:
                         f.write(content)
                     with sqlite3.connect(name) as db:
-                        rows = db.execute(sql).fetchall()
+                        rows = rows_of(db)
                 columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-                kinds = [pa.string() if n in ("model_id", "provider_id", "session_id", "dedup_key") else pa.int64() for n in names]
-                data = [pa.array([None if v is None else str(v) if k == pa.string() else int(v) for v in c], k) for c, k in zip(columns, kinds, strict=True)]
+                kinds = [{"string": (pa.string(), str), "boolean": (pa.bool_(), bool)}.get(types.get(n), (pa.int64(), int)) for n in names]
+                data = [pa.array([None if v is None else cast(v) for v in c], k) for c, (k, cast) in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*data, pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64())], [*names, "input_path", "input_seq"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "content")
-    kinds = ", ".join(f"{n} {'string' if n in ('model_id', 'provider_id', 'session_id', 'dedup_key') else 'bigint'}" for n in names)
-    return files.mapInArrow(run, f"{kinds}, input_path string, input_seq bigint").withColumns({"client": F.lit(client), "message_count": F.lit(1)}).select(*COLUMNS)
+    kinds = ", ".join(f"{n} {types.get(n, 'bigint')}" for n in names)
+    return files.mapInArrow(run, f"{kinds}, input_path string, input_seq bigint").withColumns({"client": F.lit(client), "message_count": F.lit(1)}).select(*COLUMNS, *more)
 
 
 def read_all(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """All clients' records, in one frame, in order of client id."""
+    """All clients' records, in one frame with SESSION's columns, in order of client id."""
     from .artifacts import ARTIFACTS, read_artifacts, read_openclaw  # which use this module
     from .cumulative import read_codex
 
@@ -131,6 +136,7 @@ def read_all(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
         return kind(spark, client, root)
 
     made = [read(c, root) for c, root in sorted(roots.items())]
+    made = [df.withColumns({n: F.lit(None).cast(t) for n, t in SESSION.items() if n not in df.columns}) for df in made]
     out = made[0]
     for more in made[1:]:
         out = out.unionByName(more)
