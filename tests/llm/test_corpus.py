@@ -116,6 +116,23 @@ def test_packing(spark, sf_dir):
         assert held == counts
 
 
+def test_packing_pivots_to_the_optimum():
+    """Thirty triples that fill a sequence, a million of each: the program's optimum is as many sequences, and rounding costs a few."""
+    rng, counts = np.random.default_rng(2), collections.Counter()
+    for _ in range(30):
+        a, b = rng.integers(550, 740, 2).tolist()
+        counts.update({n: 10**6 * k for n, k in collections.Counter((a, b, 2048 - a - b)).items()})
+    runs = packing.plan(counts)
+    assert sum(n for _, n in runs) <= 30 * 10**6 + len(counts)
+    held = collections.Counter()
+    for pattern, times in runs:
+        for n, k in pattern:
+            held[n] += k * times
+    assert held == counts
+    same = {700: 4, 600: 4, 500: 2}  # as many sequences either way: the grouped plan is taken
+    assert packing.plan(same) == packing.grouped_plan(same, 2048, *packing.GRAINS[0]) and packing.GRAINS[0][0] > 2
+
+
 def test_shards(spark, sf_dir, docs):
     rows = sorted(sharding.balanced_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 5).collect())
     sizes, seen = collections.Counter(), collections.Counter()

@@ -19,9 +19,9 @@ from .common import map_arrow, materialize, ship
 from .tokens import encoder, release, texts_of
 
 #: (part, groups): pieces longer than capacity / part are large, and in so many groups.  Each is planned
-#: and the plan with the fewest sequences holds; small pieces hide what rounding up leaves free, few or
-#: no small ones call for fine groups.
-GRAINS = ((2, 48), (4, 96), (6, 96))
+#: and the plan with the fewest sequences holds, of equal ones the first.  The last is best fit alone in all
+#: but name (one large piece fills a configuration), and wins only if it needs fewer sequences than the others.
+GRAINS = ((4, 96), (6, 96), (2, 48))
 
 
 def group_sizes(large: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
@@ -41,8 +41,8 @@ def group_sizes(large: list[tuple[int, int]], groups: int) -> list[list[tuple[in
     return out
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 200) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how often each: the linear program solved by at most so many pivots, rounded down."""
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and how often each: the linear program, solved until no configuration improves it, rounded down."""
     m = len(sizes)
     if not m:
         return []
@@ -50,7 +50,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     columns = [tuple(capacity // sizes[i] if i == j else 0 for j in range(m)) for i in range(m)]
     basis = np.array(columns, float).T
     most = capacity // int(s.min())
-    for _ in range(rounds):
+    apart = d + np.random.default_rng(0).random(m) * 1e-4  # ties among the ratios could make the pivots go in a circle
+    while True:
         inverse = np.linalg.inv(basis)
         price = np.maximum(inverse.sum(axis=0), 0)
         # the most valuable configuration: best[c] over up to `most` pieces, remembered layer by layer
@@ -71,7 +72,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
             if pick[room] >= 0:
                 column[pick[room]] += 1
                 room -= sizes[pick[room]]
-        move, now = inverse @ column, inverse @ d
+        move, now = inverse @ column, inverse @ apart
         ratio = np.where(move > 1e-9, now / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
