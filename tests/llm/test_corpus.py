@@ -133,6 +133,19 @@ def test_packing_pivots_to_the_optimum():
     assert packing.plan(same) == packing.grouped_plan(same, 2048, *packing.GRAINS[0]) and packing.GRAINS[0][0] > 2
 
 
+def test_packing_query_packs_the_ids(spark, sf_dir, docs, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, given, pack = Tokenizer.from_file(P.path("word_bpe_49k.json")), [], packing.pack
+    library.encode_special_tokens = True
+    monkeypatch.setattr(packing, "pack", lambda pieces, *a: given.append(pieces.columns) or pack(pieces, *a))
+    rows = registry.op3_best_fit_packing(spark, sf_dir).collect()
+    assert "ids" in given[0] and "ids_crc32" not in given[0]
+    for r in rows[::20]:
+        ids = [*library.encode(docs[r["doc_id"]], add_special_tokens=False).ids, 0][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
 def test_shards(spark, sf_dir, docs):
     rows = sorted(sharding.balanced_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 5).collect())
     sizes, seen = collections.Counter(), collections.Counter()

@@ -7,7 +7,6 @@ over configurations of these few sizes (column generation) is rounded down; the
 places of their group, in order; pieces left over and small ones then go best-fit, longest first."""
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -172,11 +171,11 @@ def slots(runs: list[tuple[list[tuple[int, int]], int]]) -> dict[int, dict[str,
     return out
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids: documents with their end id, only longer ones cut."""
+def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, start, length and ids: documents with their end id, only longer ones cut."""
     import pyarrow as pa
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+    names = ["doc_id", "piece", "start", "length", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).encode_all, np.array([end_id], "<u2").tobytes()
@@ -186,13 +185,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                 ids = np.frombuffer(own + end, dtype="<u2").astype("<u4")
                 for k in range(0, len(ids), capacity):
                     data = ids[k : k + capacity].tobytes()
-                    for column, value in zip(out, (doc_id.as_py(), k // capacity, k, len(data) // 4, zlib.crc32(data), data), strict=False):
+                    for column, value in zip(out, (doc_id.as_py(), k // capacity, k, len(data) // 4, data), strict=True):
                         column.append(value)
-            types = [batch.schema[0].type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names)
+            types = [batch.schema[0].type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return map_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids binary")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -232,9 +231,15 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInPandas(place, schema + ", sequence_id long, offset long")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for.
+def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32 (of the packed ids), ids, sequence_id, offset.
 
     A null or empty text is one piece with the end id alone.  Repeated rows are packed each; an empty table
     gives no rows; other columns are not looked at."""
-    return pack(tokenized_pieces(docs, tokenizer, capacity, end_id, with_ids=with_ids), capacity)
+    packed = pack(tokenized_pieces(docs, tokenizer, capacity, end_id), capacity)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "ids", "sequence_id", "offset")
+
+
+def packed_report(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """packed_documents with the ids packed, but for their sum not given out."""
+    return packed_documents(docs, tokenizer, capacity, end_id).drop("ids")

@@ -37,7 +37,7 @@ def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048, PACK_END, with_ids=False)
+    return packing.packed_report(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048, PACK_END)
 
 
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
