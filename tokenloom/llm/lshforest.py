@@ -1,9 +1,9 @@
-"""Jaccard join over word shingles: MinHash LSH forest for candidates, exact verification, classes.
+"""Jaccard join over word shingles: MinHash banding for candidates, exact verification, classes.
 
-Each tree of the forest holds every text under a label of up to DEEPEST MinHash values; sorted, the labels
-form a trie, and texts under one prefix are candidates.  Matching starts at the whole label and the prefix
-is shortened until pairs at the threshold are found with the target probability (tree depth for the recall
-1 - (1 - s^depth)^trees); this depth holds for all texts, since every pair at the threshold must be found.
+Each of the trees is a band of fixed depth, and texts with one band's values equal are candidates.  This stands
+in for an LSH forest: no label of DEEPEST values is built or sorted, and no prefix is shortened by what is found.
+The depth is the longest, up to DEEPEST, at which a pair at the threshold is found with the target probability
+(1 - (1 - s^depth)^trees), the depth at which a forest that has to find every such pair would stop.
 
 Equal texts are one node.  Candidates are verified inside their bucket: a pair is looked at only in the
 first bucket that it shares, large buckets are cut into blocks, and each pair of blocks is a unit of work,
