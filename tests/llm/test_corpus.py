@@ -89,8 +89,11 @@ def test_piecewise_encoding_is_the_library_s(docs, name):
     from tokenizers import Tokenizer
 
     theirs = Tokenizer.from_file(P.path(name))
-    theirs.encode_special_tokens = True
-    texts = [*docs.values(), *filter(None, ODD), "a \n b", "\x1c \x1d a \x85 b", " \x01"]
+    texts = [*docs.values(), *filter(None, ODD), "a \n b", "\x1c \x1d a \x85 b", " \x01", "see bİ. now", "a क़. b", " <|endoftext|> x<|startoftext|>.y <|ENDOFTEXT|>, z"]
+    rng = np.random.default_rng(11)
+    alphabet = list("abTs'.,;<|> \n\t") + ["İ", "क़", "ß", "é", "e\u0301", "\u0307", "ﬁ", "🙂", "中", "ª", "<|endoftext|>", "<|startoftext|>", ". ", ", "]
+    texts += ["".join(rng.choice(alphabet, n)) for n in rng.integers(1, 14, 5000)]
+    texts += [f"see b{chr(c)}. now x{chr(c)}, y" for c in range(33, 0x2FFF)]
     for text, ids in zip(texts, tokens.TextEncoder(P.path(name)).encode_all(texts), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
@@ -137,13 +140,27 @@ def test_packing_query_packs_the_ids(spark, sf_dir, docs, monkeypatch):
     from tokenizers import Tokenizer
 
     library, given, pack = Tokenizer.from_file(P.path("word_bpe_49k.json")), [], packing.pack
-    library.encode_special_tokens = True
     monkeypatch.setattr(packing, "pack", lambda pieces, *a: given.append(pieces.columns) or pack(pieces, *a))
     rows = registry.op3_best_fit_packing(spark, sf_dir).collect()
     assert "ids" in given[0] and "ids_crc32" not in given[0]
-    for r in rows[::20]:
-        ids = [*library.encode(docs[r["doc_id"]], add_special_tokens=False).ids, 0][r["start"] : r["start"] + r["length"]]
-        assert r["ids_crc32"] == zlib.crc32(np.asarray(ids, "<u4").tobytes())
+    want = {}
+    for d, text in docs.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        want.update({(d, k // 2048): (k, len(ids[k : k + 2048]), zlib.crc32(np.asarray(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)})
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+
+
+def test_pack_takes_any_columns(spark, monkeypatch):
+    pieces = spark.range(500).selectExpr("id % 300 + 1 AS length", "id AS part", "id + 1 AS _place", "-id AS _bases", "id * 2 AS base").repartition(7)
+    for few in (1_000_000, 10):
+        monkeypatch.setattr(packing, "SMALL_BASES", few)
+        rows = packing.pack(pieces, 2048).collect()
+        assert sorted((r["length"], r["part"], r["_place"], r["_bases"], r["base"]) for r in rows) == sorted(tuple(r) for r in pieces.collect())
+        spans = collections.defaultdict(list)
+        for r in rows:
+            spans[r["sequence_id"]].append((r["offset"], r["length"]))
+        for own in spans.values():
+            assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()] and sum(n for _, n in own) <= 2048
 
 
 def test_shards(spark, sf_dir, docs):
@@ -340,7 +357,6 @@ def test_wavelet_shards_give_the_librarys_ids(spark, odd):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.where("doc_id is not null").collect()), key=lambda r: r[0])
     start, want = 0, []
     for doc_id, text in rows:
@@ -359,7 +375,6 @@ def test_wavelet_query_on_whole_documents(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     start, want = 0, []
     for doc_id in sorted(docs):
         ids = [*library.encode(docs[doc_id], add_special_tokens=False).ids, 2]

@@ -22,9 +22,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
-    Only where the cluster names none (local tests) is a temporary one set."""
+
+    Only a local master, as in tests, may do without: a temporary folder is set then.  On a cluster that
+    names none this is an error, since executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -89,6 +93,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns beside those of df, whatever they are called (Spark takes no notice of case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def key_of(col: str | Column) -> Column:
     """An id as a join key that is never null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))

@@ -11,16 +11,19 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, ship
-from .tokens import encoder, release, texts_of
+from .common import fresh_names, map_arrow, materialize, ship
+from .tokens import encoder, texts_of
 
 #: (part, groups): pieces longer than capacity / part are large, and in so many groups.  Each is planned
 #: and the plan with the fewest sequences holds, of equal ones the first.  The last is best fit alone in all
 #: but name (one large piece fills a configuration), and wins only if it needs fewer sequences than the others.
 GRAINS = ((4, 96), (6, 96), (2, 48))
+#: So many counts (a partition's pieces of a length) are broadcast at most: 16 bytes each and some overhead.
+SMALL_BASES = 1_000_000
 
 
 def group_sizes(large: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
@@ -197,38 +200,53 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """pieces (any columns, with length long from 1 to capacity) with sequence_id and offset.
 
-    Pieces of one length are interchangeable, so each needs only its rank among them: counted per
-    partition and length, prefix-summed per length, then numbered inside its partition.  The driver sees
-    one count per length."""
-    import pandas as pd
-
-    kept = materialize(pieces.withColumn("_pid", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    counts = kept.groupBy("length", "_pid").agg(F.count(F.lit(1)).alias("_n"))
-    runs = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}, capacity)
-    table = slots(runs)
-    before = Window.partitionBy("length").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_pid", "length").orderBy("_row")
-    ranked = kept.withColumn("_i", F.row_number().over(inside)).join(bases, ["_pid", "length"]).withColumn("_rank", F.col("_base") + F.col("_i") - 1).drop("_pid", "_row", "_i", "_base")
-    columns = [c for c in pieces.columns]
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        release()
-        for frame in batches:
-            sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-            lengths, ranks = frame["length"].to_numpy(), frame["_rank"].to_numpy()
-            for length in np.unique(lengths):
-                own = lengths == length
-                t, r = table[int(length)], ranks[own]
-                block = np.searchsorted(t["rank"], r, side="right") - 1
-                inner = r - t["rank"][block]
-                sequence[own] = t["base"][block] + inner // t["copies"][block]
-                offset[own] = t["offset"][block] + inner % t["copies"][block] * length
-            yield frame[columns].assign(sequence_id=sequence, offset=offset)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    Pieces of one length are interchangeable, so each needs only its rank among them: its rank inside its
+    partition, numbered as the pieces are written, and how many the partitions before have.  Beside that
+    one write no piece is moved; Python workers see lengths and ranks, not the other columns.  The driver
+    sees one count per length.  The partitions' bases (a row each) are broadcast up to SMALL_BASES of
+    them, and joined by an exchange beyond."""
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for lengths in batches:
+            own = lengths.to_numpy()
+            order = own.argsort(kind="stable")
+            inner = np.arange(len(own)) - np.searchsorted(own[order], own[order])  # place among the equal ones of this batch
+            rank = np.empty(len(own), np.int64)
+            rank[order] = inner + seen[own[order]]
+            seen += np.bincount(own, minlength=capacity + 1)
+            yield pd.DataFrame({"part": np.full(len(own), part, np.int32), "rank": rank})
+
+    place_name, base_name, part_name = fresh_names(pieces, "place", "bases", "part")
     ship(pieces.sparkSession)
-    return ranked.mapInPandas(place, schema + ", sequence_id long, offset long")
+    numbered = F.pandas_udf(number, "part int, rank long")
+    kept = materialize(pieces.withColumn(place_name, numbered("length")), "pieces")
+    counts = kept.groupBy(F.col(f"{place_name}.part").alias("part"), "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "lengths")
+    runs = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    table = slots(runs)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = bases.groupBy(F.col("part").alias(part_name)).agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias(base_name))
+    few = counts.select("part", "length").limit(SMALL_BASES + 1).count() <= SMALL_BASES
+    based = kept.join(F.broadcast(bases) if few else bases, F.col(f"{place_name}.part") == F.col(part_name))
+
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        lengths, ranks = lengths.to_numpy(), ranks.to_numpy()
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for length in np.unique(lengths):
+            own = lengths == length
+            t, r = table[int(length)], ranks[own]
+            block = np.searchsorted(t["rank"], r, side="right") - 1
+            inner = r - t["rank"][block]
+            sequence[own] = t["base"][block] + inner // t["copies"][block]
+            offset[own] = t["offset"][block] + inner % t["copies"][block] * length
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    placed = F.pandas_udf(place, "sequence_id long, offset long")
+    ranked = based.withColumn(place_name, placed(F.col("length"), F.col(base_name)[F.col("length")] + F.col(f"{place_name}.rank")))
+    return ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], F.col(f"{place_name}.sequence_id").alias("sequence_id"), F.col(f"{place_name}.offset").alias("offset"))
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

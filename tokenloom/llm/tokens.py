@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,8 +28,16 @@ def pieces(text: str) -> list[str]:
     return LONE.split(text) if odd else text.split(" ")
 
 
+def ends_word(c: str) -> bool:
+    """Whether a piece that ends in c still ends in a letter when a normalizer has composed and lower-cased it."""
+    return c.isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", c).lower())[-1:].isalpha()
+
+
 class TextEncoder:
-    """encode(text) gives ids as little-endian unsigned 16-bit integers (the vocabulary must fit)."""
+    """encode(text) gives ids as little-endian unsigned 16-bit integers (the vocabulary must fit).
+
+    They are the library's for add_special_tokens=False: the string of a special token in a text is that
+    token.  A text that may have one is encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,7 +46,8 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids over 65535 don't fit")
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: How the strings of added tokens begin, whatever their case; the rest of a text is cut into pieces.
+        self.specials = sorted({t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         #: A mark behind a letter is a match of its own for every pattern in use, so a word's ids go before it.
@@ -74,7 +84,14 @@ class TextEncoder:
         at = (np.searchsorted(begin, starts) * 2).tolist()
         return dict(zip(new, map(ids.tobytes().__getitem__, map(slice, at, [*at[1:], 2 * len(ids)])), strict=True))
 
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        odd = {i: self.whole(t) for i, t in enumerate(texts) if any(s in (t if s.upper() == s else t.lower()) for s in self.specials)}
+        if odd:
+            plain = iter(self.encode_many([t for i, t in enumerate(texts) if i not in odd])) if len(odd) < len(texts) else iter(())
+            return [odd[i] if i in odd else next(plain) for i in range(len(texts))]
         parts, known = [pieces(t) for t in texts], self.known
         heads = [np.asarray(x.ids, dtype="<u2").tobytes() for x in self.tokenizer.encode_batch_fast([own[0] for own in parts], add_special_tokens=False)]
         found = [[head, *map(known.get, own[1:])] for head, own in zip(heads, parts, strict=True)]
@@ -86,7 +103,7 @@ class TextEncoder:
                 self.known = known
             known.update({p: self.before[p] for p in new if p in self.before})
             unseen = {p for p in new if p not in known}
-            ended = {p: p[:-1] for p in unseen if p[-1:] in self.tails and p[-2:-1].isalpha()}
+            ended = {p: p[:-1] for p in unseen if p[-1:] in self.tails and ends_word(p[-2:-1])}
             stems = set(ended.values())
             known.update({p: self.before[p] for p in stems if p not in known and p in self.before})
             fresh = [p for p in (unseen - ended.keys()) | stems if p not in known]
