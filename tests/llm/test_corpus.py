@@ -323,6 +323,64 @@ def test_large_groups_of_near_copies_are_verified_in_blocks(spark, monkeypatch):
     assert {r["class_id"] for r in got.values()} == {0}
 
 
+def jaccard_pairs(texts, threshold=0.8):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    return [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 10 * len(sets[a] & sets[b]) >= round(10 * threshold) * len(sets[a] | sets[b])]
+
+
+def test_forest_shortens_prefixes_by_what_it_finds(spark, monkeypatch):
+    def searched(texts):
+        trace = []
+        rows = lshforest.jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), trace=trace).collect()
+        want = collections.Counter(x for p in jaccard_pairs(texts) for x in p)
+        assert {r["_id"]: r["n_links"] for r in rows} == {i: want[i] for i in range(len(texts))}
+        return trace
+
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    close = [" ".join([*words(f"a{g}x", 600), f"e{k}"]) for g in range(20) for k in range(3)]
+    trace = searched(close)
+    assert [d for d, _, _ in trace] == [lshforest.DEEPEST] and trace[-1][2] >= lshforest.TARGET
+    apart = []
+    for g in range(40):  # pairs just over the threshold, and a group whose members are alike two by two
+        base = words(f"b{g}x", 180)
+        apart += [" ".join(base), " ".join([*base[:158], *words(f"c{g}x", 12)])]
+    apart += [" ".join([*words("d", 200), *tail]) for tail in (["p"], ["p"] * 2, words("q", 20), [*words("q", 20), "r"])]
+    for block in (512, 2):
+        monkeypatch.setattr(lshforest, "BLOCK", block)
+        trace = searched(apart)
+        assert [d for d, _, _ in trace][0] == lshforest.DEEPEST and trace[-1][0] == lshforest.last_depth() and len(trace) > 1
+        assert [n for _, n, _ in trace] == sorted(n for _, n, _ in trace)
+
+
+def test_tries_give_the_longest_matched_prefix(spark):
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 2, (300, 3, 4)).astype("<u2")  # few values, so that prefixes match
+    texts = spark.createDataFrame([(bytes([i // 256, i % 256]), x.tobytes()) for i, x in enumerate(labels)], "h binary, labels binary").repartition(5)
+    got = {(r["t"], bytes(r["h"])): r["reach"] for r in lshforest.matched_prefixes(texts, 3, 4, 1).collect()}
+    over = 0
+    for t in range(3):
+        for i in range(300):
+            same = np.cumprod(labels[:, t] == labels[i, t], axis=1).sum(axis=1)
+            best, found = np.delete(same, i).max(), got.get((t, bytes([i // 256, i % 256])), 0)
+            assert found >= best
+            over += found != best
+    assert over <= 2 * 8  # the ends of partitions
+
+
+def test_forest_expectations():
+    bins = [0] * lshforest.BINS
+    assert lshforest.next_depth(bins, 8, 5, 0.8, 0.9995, 20) == 5
+    bins[-1] = 10
+    assert lshforest.next_depth(bins, 8, 5, 0.8, 0.9995, 20) == 8
+    bins[0] = 1000
+    assert lshforest.next_depth(bins, 8, 5, 0.8, 0.9995, 20) == 5 and abs(lshforest.expected(bins, 8, 8, 0.8, 20) - lshforest.chance(0.8, 8)) < 0.01
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError, match="doc_id must be an integer"):
+        lshforest.class_report(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_one_of_each_keeps_wordless_and_repeated(odd):
     kept = lshforest.one_of_each(odd)
     assert kept.columns == odd.columns

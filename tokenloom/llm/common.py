@@ -11,6 +11,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Stands for a null id where ids are join keys or are ordered: null sorts before every id.
 NULL_ID = -(2**63)
@@ -106,6 +107,13 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def integral(df: DataFrame, id_col: str) -> None:
+    """Refuses ids that aren't integers, where an operator orders and joins them as such."""
+    kind = df.select(id_col).schema[0].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must be an integer, not {kind.simpleString()}")
+
+
 def key_of(col: str | Column) -> Column:
     """An id as a join key that is never null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))
