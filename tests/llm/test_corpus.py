@@ -66,6 +66,40 @@ def test_warc_odd_pages(spark):
     assert all(r["request"] and r["metadata"] and r["response"] for r in made) and len(made) == 6
 
 
+def test_warc_repeated_rows_and_clashing_columns(spark):
+    big = "q" * 200
+    pages = spark.createDataFrame([(1, "u", big, 7, "x"), (1, "u", big, 8, "y"), (1, "v", "small", 9, "z"), (1, "v", "small", 9, "z"), (0, "u", big + "é", 1, "w"), (5, "u", big, 1, "w"), (None, "n", None, 0, "")], "page_id bigint, url string, html string, row int, digest string").coalesce(2)
+    got = sorted((r["page_id"] if r["page_id"] is not None else -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.capture_report(pages).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(-1, 0, sha(""), "response", None), (0, 202, sha(big + "é"), "response", None), (1, 5, sha("small"), "response", None), (1, 5, sha("small"), "response", None), (1, 200, sha(big), "response", None), (1, 200, sha(big), "revisit", 1), (5, 200, sha(big), "revisit", 1)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_warc_transactions_join_whoever_names_whom(spark):
+    cols = "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, digest string, http_head string, fields string, n_bytes long, payload_sha256 string, payload binary"
+    row = lambda i, kind, *named: (i, kind, list(named), None, f"uri {i}", None, None, f"head {i}", f"fields {i}", 1, None, None)
+    def nested(*rows):
+        found = warc.assemble(spark.createDataFrame(list(rows), cols)).collect()
+        return sorted(([r[p]["record_id"] if r[p] else None for p in ("response", "request", "metadata")], [o["record_id"] for o in r["others"]]) for r in found)
+
+    star = [row("r1", "response"), row("q1", "request", "r1"), row("m1", "metadata", "r1"), row("r2", "revisit"), row("w", "warcinfo")]
+    assert nested(*star) == sorted([(["r1", "q1", "m1"], []), (["r2", None, None], [])], key=lambda x: (x[0][0], x))
+    # a response that names its request, a chain, repeated headers, two requests, and one that names nobody known
+    odd = [row("r1", "response", "q1"), row("q1", "request"), row("m1", "metadata", "q1"), row("r2", "response"), row("q2", "request", "r2"), row("m2", "metadata", "q2"), row("r3", "response"), row("q3", "request", "r3", "m3"), row("q4", "request", "r3"), row("m3", "metadata"), row("q9", "request", "gone"), row("c3", "conversion", "r3")]
+    found = nested(*[x for x in odd if x[0] != "q9"])
+    assert found == [(["r1", "q1", "m1"], []), (["r2", "q2", "m2"], []), (["r3", "q3", "m3"], ["q4", "c3"])]
+    both = warc.assemble(spark.createDataFrame([*odd, odd[0]], cols)).collect()
+    assert len(both) == 4 and {r["request"]["http_head"] for r in both if r["request"]["record_id"] == "q9"} == {"head q9"}
+    assert warc.assemble(spark.createDataFrame([], cols)).count() == 0
+
+
+def test_warc_reads_repeated_headers():
+    import io
+
+    data = warc.record([("WARC-Type", "request"), ("WARC-Record-ID", "<q>"), ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>")], b"GET / HTTP/1.1\r\n\r\n")
+    assert [h["warc-concurrent-to"] for h, _ in warc.records(io.BytesIO(data + data))] == [["<a>", "<b>"]] * 2
+
+
 def test_prefix_bpe_is_tiktoken(docs):
     import tiktoken
 

@@ -140,17 +140,31 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+class FileWriter:
+    """A file written under another name until it is closed, so that a task that dies leaves nothing half written."""
+
+    def __init__(self, path: str):
+        self.path, self.size = path, 0
+        self.system, self.name = _fs(path)
+        self.system.create_dir(os.path.dirname(self.name), recursive=True)
+        self.part = f"{self.name}.{uuid.uuid4().hex}.part"
+        self.out = self.system.open_output_stream(self.part, compression=None)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.system.move(self.part, self.name)
+
+
 def write_file(path: str, chunks) -> int:
-    """Writes chunks under another name first, so that a task that dies leaves nothing half written."""
-    system, name = _fs(path)
-    system.create_dir(os.path.dirname(name), recursive=True)
-    total, part = 0, f"{name}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part, compression=None) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            total += len(chunk)
-    system.move(part, name)
-    return total
+    out = FileWriter(path)
+    for chunk in chunks:
+        out.write(chunk)
+    out.close()
+    return out.size
 
 
 def read_file(path: str) -> bytes:

@@ -1,7 +1,8 @@
 """WARC archives: written from pages, read back, and assembled into one nested row per capture.
 
-A capture is three records: the response (or, for a payload that is already archived, a revisit without
-payload that refers to it), the request and the metadata; the last two name the first in WARC-Concurrent-To.
+A capture is written as three records: the response (or, for a payload that is already archived, a revisit
+without payload that refers to it), the request and the metadata; the last two name the first in
+WARC-Concurrent-To.  Reading makes no such assumption: any record may name any others, in chains too.
 Each record is a gzip member of its own, as the format asks for."""
 from __future__ import annotations
 
@@ -14,7 +15,8 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_of, map_arrow, materialize, new_path, open_input, write_file
+from .common import FileWriter, integral, key_of, map_arrow, materialize, new_path, open_input
+from .graph import components
 
 DATE = "2026-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,114 +105,153 @@ class _Members:
         return whole[:n]
 
 
-def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of a .warc.gz stream."""
+def records(stream) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """(values of each header by lower-case name, block) of each record of a .warc.gz stream."""
     source = _Members(stream)
     while (head := source.until(b"\r\n\r\n")) is not None:
         first, *lines = head.decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        block = source.take(int(headers["content-length"]))
+        headers: dict[str, list[str]] = {}
+        for name, _, value in (line.partition(":") for line in lines):
+            headers.setdefault(name.strip().lower(), []).append(value.strip())
+        block = source.take(int(headers["content-length"][0]))
         source.take(4)
         yield headers, block
 
 
 def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id") -> DataFrame:
-    """Writes page_id, url, html into .warc.gz files; returns their manifest (path, n_records).
+    """Writes page_id (an integer), url, html into .warc.gz files; returns their manifest (path, n_records).
 
     Of equal payloads of LEAST_BYTES or more the smallest page_id (null is smallest) keeps the payload.
-    Digests alone are grouped; pages then meet their digest's first page in a join that Spark may split
-    where a digest is hot.  A null html is an empty payload, a null url an empty address.  Rows that
-    repeat a page_id are captures of their own, told apart by the payload's digest."""
+    Digests alone are grouped; pages with a large payload then meet their digest's first page in a join that
+    Spark may split where a digest is hot, and small payloads join nothing.  A null html is an empty payload,
+    a null url an empty address.  Rows that repeat a page_id are captures of their own, told apart by the
+    row's number, and of equal payloads under the smallest page_id the first row keeps it; pages must give
+    its rows in the same order whenever it is read, as stored tables do.  An empty table gives no files;
+    other columns are not looked at."""
     import pyarrow as pa
 
+    integral(pages, id_col)
     where = path or new_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), key_of(id_col).alias("k"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    large = pages.select(key_of(id_col).alias("k"), F.sha2(payload, 256).alias("d"), F.octet_length(payload).alias("n")).where(F.col("n") >= LEAST_BYTES)
-    first = large.groupBy("d").agg(F.min("k").alias("first"))
-    joined = rows.join(first, rows["digest"] == first["d"], "left").select("id", "k", "url", "payload", "digest", "first")
+    own = F.struct(key_of(id_col).alias("k"), F.monotonically_increasing_id().alias("row"))
+    large = F.octet_length(payload) >= LEAST_BYTES
+    digests = pages.select(own.alias("own"), F.sha2(payload, 256).alias("d"), large.alias("large")).where("large")
+    shared = digests.groupBy("d").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first")
+    rows = pages.select(own.alias("own"), F.col(id_col).cast("string").alias("id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), large.alias("large"))
+    alone = rows.where("not large").select("own", "id", "url", "payload", "digest", F.lit(None).cast("struct<k:bigint,row:bigint>").alias("first"))
+    joined = alone.union(rows.where("large").join(shared, rows["digest"] == shared["d"], "left").select("own", "id", "url", "payload", "digest", "first"))
+    flat = joined.select(F.concat_ws(" ", "own.k", "own.row").alias("own"), "id", "url", "payload", "digest", F.when(F.col("first") != F.col("own"), F.concat_ws(" ", "first.k", "first.row")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, held, size, count = TaskContext.get().partitionId(), 0, [], 0, 0
-
-        def flush():
-            name = f"{where}/pages-{part:06d}-{seq:04d}.warc.gz"
-            info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, "warcinfo")), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-            write_file(name, [info, *held])
-            return pa.RecordBatch.from_pydict({"path": [name], "n_records": pa.array([count + 1], pa.int64())})
-
+        part, seq, out, count = TaskContext.get().partitionId(), 0, None, 0
+        done = lambda: pa.RecordBatch.from_pydict({"path": [out.path], "n_records": pa.array([count], pa.int64())})
         for batch in batches:
-            for page, k, url, body, digest, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                refers = before is not None and before != k
+            for own, page, url, body, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None:
+                    out, count = FileWriter(f"{where}/pages-{part:06d}-{seq:04d}.warc.gz"), 1
+                    out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(out.path, "warcinfo")), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
                 fields = f"page-id: {page}\r\n" if page is not None else "page-id:\r\n"
-                made = capture_records(f"{k} {digest}", fields, url, body, digest, f"{before} {digest}" if refers else None)
-                held.append(made)
-                size, count = size + len(made), count + 3
-                if size >= FILE_BYTES:
-                    yield flush()
-                    seq, held, size, count = seq + 1, [], 0, 0
-        if held:
-            yield flush()
+                out.write(capture_records(own, fields, url, body, digest, first))
+                count += 3
+                if out.size >= FILE_BYTES:
+                    out.close()
+                    yield done()
+                    seq, out = seq + 1, None
+        if out is not None:
+            out.close()
+            yield done()
 
-    return materialize(map_arrow(joined, run, "path string, n_records long"), "archives")
+    return materialize(map_arrow(flat, run, "path string, n_records long"), "archives")
 
 
 def read_records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of the archives that manifest (path) lists, one row each, with the payload's own digest."""
+    """The records of the archives that manifest (path) lists, one row each, with the payload's own digest.
+    concurrent_to lists every record that is named; refers_to and the other headers are the first of their name."""
     import pyarrow as pa
 
-    schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("http_head", pa.string()), ("fields", pa.string()), ("n_bytes", pa.int64()), ("payload_sha256", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("digest", pa.string()), ("http_head", pa.string()), ("fields", pa.string()), ("n_bytes", pa.int64()), ("payload_sha256", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, size = [], 0
                 with open_input(name) as stream:
-                    for head, block in records(stream):
-                        kind, http, fields, body = head.get("warc-type"), None, None, None
+                    for heads, block in records(stream):
+                        head = lambda x: heads.get(x, [None])[0]  # noqa: B023, E731
+                        kind, http, fields, body = head("warc-type"), None, None, None
                         if kind in ("response", "revisit", "request"):
                             http, _, body = block.partition(b"\r\n\r\n")
                             http = http.decode("utf-8", "replace")
                         else:
                             fields = block.decode("utf-8", "replace")
                         own = body if kind == "response" else None
-                        rows.append((head.get("warc-record-id"), kind, head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-payload-digest"), http, fields, None if own is None else len(own), None if own is None else hashlib.sha256(own).hexdigest(), own if with_payload else None))
+                        rows.append((head("warc-record-id"), kind, heads.get("warc-concurrent-to", []), head("warc-refers-to"), head("warc-target-uri"), head("warc-date"), head("warc-payload-digest"), http, fields, None if own is None else len(own), None if own is None else hashlib.sha256(own).hexdigest(), own if with_payload else None))
                         size += len(block)
                         if size > 16 << 20 or len(rows) >= 5000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                            yield batch_of(rows)
                             rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield batch_of(rows)
 
     n = max(1, min(manifest.count(), 100_000))
-    return map_arrow(manifest.select("path").repartitionByRange(n, "path"), run, "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, digest string, http_head string, fields string, n_bytes long, payload_sha256 string, payload binary")
+    return map_arrow(manifest.select("path").repartitionByRange(n, "path"), run, "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, digest string, http_head string, fields string, n_bytes long, payload_sha256 string, payload binary")
 
 
-def assemble(found: DataFrame) -> DataFrame:
-    """One row per capture: capture_id and the structs response (or revisit), request, metadata.
+MAIN, BESIDE = ("response", "revisit"), ("request", "metadata")
+PARTS = {"response": ["record_id", "type", "refers_to", "uri", "date", "digest", "http_head", "n_bytes", "payload_sha256", "payload"], "request": ["record_id", "uri", "http_head"], "metadata": ["record_id", "fields"]}
+
 
-    Records meet under the id of the response or revisit that they are or name; a capture without one of
-    the three has null there, and an archive's own warcinfo belongs to none."""
-    mine = found.where(F.col("type").isin("response", "revisit", "request", "metadata")).withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
-    pick = lambda kinds, c: F.max(F.when(F.col("type").isin(*kinds), F.col(c)))
-    parts = {"response": (("response", "revisit"), ["record_id", "type", "refers_to", "uri", "date", "digest", "http_head", "n_bytes", "payload_sha256", "payload"]), "request": (("request",), ["record_id", "uri", "http_head"]), "metadata": (("metadata",), ["record_id", "fields"])}
-    flat = mine.groupBy("capture_id").agg(*[pick(kinds, c).alias(f"{part}_{c}") for part, (kinds, cols) in parts.items() for c in cols])
-    return flat.select("capture_id", *[F.when(F.col(f"{part}_record_id").isNotNull(), F.struct(*[F.col(f"{part}_{c}").alias(c) for c in cols])).alias(part) for part, (_, cols) in parts.items()])
+def capture_ids(found: DataFrame) -> DataFrame:
+    """record_id, capture_id of the records that hang together by concurrent-to identifiers, whoever names whom.
+
+    Where each request and metadata record names one response or revisit and these name none, that one is the
+    capture.  Else the records' links are followed over any number of steps and in both directions, and the
+    capture is the least id among them.  A name that no record has still ties those that use it."""
+    links = found.select("record_id", "type", F.explode("concurrent_to").alias("named"))
+    main = found.where(F.col("type").isin(*MAIN)).select(F.col("record_id").alias("named"), F.lit(True).alias("is_main"))
+    plain = links.where(F.col("type").isin(*BESIDE)).join(main, "named", "left_semi")
+    counts = links.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("d")).first()
+    if counts["n"] == counts["d"] == plain.count():
+        return plain.select("record_id", F.col("named").alias("capture_id"))
+    return components(links.select(F.col("record_id").alias("h"), F.col("named").alias("root"))).select(F.col("h").alias("record_id"), F.col("root").alias("capture_id"))
+
+
+def assemble(found: DataFrame) -> DataFrame:
+    """One row per capture: capture_id, response (or revisit), request and metadata as structs, and others.
+
+    Responses, requests and metadata are joined by their capture; a capture without one of the three has null
+    there.  If it has several records of a kind the one with the least record id stands in the struct, and the
+    others, with whatever kind of record it has besides, in others (record_id, type, uri, http_head, fields).
+    Records that neither name nor are named by any, but for an archive's own warcinfo, are captures alone.
+    Rows that repeat a record id are one record.  found is read more than once: write it first."""
+    mine = found.where("type <> 'warcinfo' or size(concurrent_to) > 0").dropDuplicates(["record_id"])
+    tied = mine.join(capture_ids(mine), "record_id", "left").withColumn("capture_id", F.coalesce("capture_id", "record_id"))
+    parts = {}
+    for part, cols in PARTS.items():
+        kinds = MAIN if part == "response" else (part,)
+        records_ = tied.where(F.col("type").isin(*kinds)).groupBy("capture_id").agg(F.min_by(F.struct(*cols), "record_id").alias(part), F.array_sort(F.collect_list(F.struct("record_id", "type", "uri", "http_head", "fields"))).alias("all"))
+        parts[part] = records_.select("capture_id", part, F.expr("slice(all, 2, size(all))").alias(f"more_{part}"))
+    rest = tied.where(~F.col("type").isin(*MAIN, *BESIDE)).groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("record_id", "type", "uri", "http_head", "fields"))).alias("more"))
+    whole = parts["response"].join(parts["request"], "capture_id", "full").join(parts["metadata"], "capture_id", "full").join(rest, "capture_id", "full")
+    none = F.array().cast("array<struct<record_id:string,type:string,uri:string,http_head:string,fields:string>>")
+    return whole.select("capture_id", *PARTS, F.concat(*[F.coalesce(c, none) for c in ("more_response", "more_request", "more_metadata", "more")]).alias("others"))
 
 
 def capture_report(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to per page, all from the archives."""
-    made = assemble(read_records(write_archives(pages), with_payload=False))
+    made = assemble(materialize(read_records(write_archives(pages), with_payload=False), "records"))
     made = made.select(
-        "capture_id", F.expr("try_cast(nullif(regexp_extract(metadata.fields, 'page-id: ?([^\\r\\n]*)', 1), '') as bigint)").alias("page_id"), F.col("response.type").alias("record_type"),
-        F.col("response.refers_to").alias("_to"), F.col("response.n_bytes").alias("_bytes"), F.col("response.payload_sha256").alias("_sha"))
+        F.col("response.record_id").alias("id"), F.expr("try_cast(nullif(regexp_extract(metadata.fields, 'page-id: ?([^\\r\\n]*)', 1), '') as bigint)").alias("page_id"), F.col("response.type").alias("record_type"),
+        F.col("response.refers_to").alias("named"), F.col("response.n_bytes").alias("n"), F.col("response.payload_sha256").alias("sha"))
     made = materialize(made, "captures")
-    firsts = made.where("record_type = 'response'").select(F.col("capture_id").alias("_id"), F.col("page_id").alias("_page"), F.col("_bytes").alias("_n"), F.col("_sha").alias("_s"))
-    again = made.where("record_type = 'revisit'").join(firsts, F.col("_to") == F.col("_id"), "left")
-    plain = made.where("record_type = 'response'")
-    cols = lambda n, s, r: ["page_id", F.col(n).alias("payload_bytes"), F.col(s).alias("payload_digest"), "record_type", r.alias("refers_to")]
-    return plain.select(*cols("_bytes", "_sha", F.lit(None).cast("bigint"))).unionByName(again.select(*cols("_n", "_s", F.col("_page"))))
+    again = made.where("record_type = 'revisit'").select("page_id", "record_type", "named")
+    firsts = made.where("record_type = 'response'").join(again.select(F.col("named").alias("id")).distinct(), "id", "left_semi").select("id", F.col("page_id").alias("refers_to"), "n", "sha")
+    plain = made.where("record_type = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), "record_type", F.lit(None).cast("bigint").alias("refers_to"))
+    return plain.union(again.join(firsts, F.col("named") == F.col("id"), "left").select("page_id", "n", "sha", "record_type", "refers_to"))
