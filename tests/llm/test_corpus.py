@@ -443,6 +443,112 @@ def test_hot_host_and_shrinking(spark):
     assert not got[0] and got[1000] and got[2001] and got[2002]
 
 
+def test_rules_are_shrunk_by_host(spark):
+    """Rates by hand, and a host that one rule alone rejects."""
+    good, symbols = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}#" for i in range(40))
+    rows = [(i, symbols, "marks") for i in range(90)] + [(100 + i, good, "marks") for i in range(10)] + [(1000 + i, good if i % 20 else "x", f"h{i % 5}") for i in range(500)]
+    measured = hostrules.measure(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    got = {r["_host"]: r for r in hostrules.host_verdicts(measured).collect()}
+    assert [h for h, r in got.items() if r["rejected"]] == ["marks"] and got["marks"]["rates"]["symbols"]["fails"] == 90
+    for rule in (*hostrules.RULES, "any"):
+        counts = {h: (r["rates"][rule]["fails"], r["n"]) for h, r in got.items()}
+        n, m = sum(b for _, b in counts.values()), sum(a for a, _ in counts.values()) / sum(b for _, b in counts.values())
+        v, c = sum(a * a / b for a, b in counts.values()) / n - m * m, m * (1 - m) * len(counts) / n
+        weight = max(1.0, m * (1 - m) / (v - c) - 1) if v > c and m * (1 - m) > v else 100.0
+        for h, (a, b) in counts.items():
+            assert got[h]["rates"][rule]["shrunk"] == pytest.approx((a + m * weight) / (b + weight))
+    kept = {r["doc_id"]: r["kept"] for r in hostrules.quality_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert not any(kept[i] for i in range(90)) and not kept[105] and kept[1001]
+    assert kept == dict(duck_over(registry.OP10, documents=(rows, ["doc_id", "text", "source"]), columns=("doc_id", "kept")))
+
+
+def duck_over(sql, columns, **tables):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    for name, (rows, names) in tables.items():
+        con.register(name, pd.DataFrame(rows, columns=names))
+    return con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+
+
+CLASH = "doc_id bigint, text string, source string, _k int, _t int, _h int, gone int, n_gone int, _c0 int, row int, `a.b` int, k int, first int, _kept int, n_chars int"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    own = " ".join(f"o{i}" for i in range(60))
+    texts = [f"{PASSAGE}\n{own}", f"{own} x\n{PASSAGE}", None, "tiny", PASSAGE + " y"]
+    rows = [(i, t, "s", *range(10 * i, 10 * i + 11), 5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0]], CLASH)
+    for stage in (hostrules.keep_good, linededup.dedup_documents, lshforest.one_of_each):
+        made = stage(docs)
+        assert made.columns == docs.columns and stage(docs.limit(0)).count() == 0
+        for r in made.collect():
+            assert tuple(r[3:14]) == rows[r["doc_id"]][3:14], stage
+    assert sorted(r["doc_id"] for r in hostrules.keep_good(docs).collect()) == [0, 0, 1, 4]
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in linededup.dedup_documents(docs).collect()}
+    assert got[1] == (f"{own} x", len(own) + 2) and got[0] == (texts[0], 5) and got[2] == (None, 5)
+    assert sorted(r["doc_id"] for r in lshforest.one_of_each(docs).collect()) == [0, 2, 3, 4]  # 0 and 1 are near copies
+
+
+def test_hot_runs_meet_a_broadcast(spark, monkeypatch):
+    from tokenloom.llm import common
+
+    rows = [(i, f"own {i}\n{PASSAGE}") for i in range(30)] + [(100 + i, f"{' '.join(f'z{j}' for j in range(70))}\n{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(tuple(r) for r in linededup.dedup_report(docs).collect())
+    for hot, few in ((10, 100), (10, 0), (1, 100)):
+        monkeypatch.setattr(common, "HOT", hot)
+        monkeypatch.setattr(common, "FEW_HOT", few)
+        assert sorted(tuple(r) for r in linededup.dedup_report(docs).collect()) == want
+    assert sum(r[3] for r in want) == 29 + 2
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from tokenloom.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://x", getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
+
+
+def test_wavelet_queries_over_files(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, n)) for n in rng.integers(0, 60, 40)]
+    rows = [(None if i % 9 == 0 else f"d{i // 2:03}", t) for i, t in enumerate(texts)]  # null and repeated string ids
+    docs = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    made = wavelet.write_shards(docs, P.path("byte_bpe_50k.json"), 2, shard_tokens=200)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or "", i))
+    whole, starts = [], []
+    for i in order:
+        starts.append((rows[i][0], len(whole)))
+        whole += [*library.encode(texts[i], add_special_tokens=False).ids, 2]
+    read = wavelet.read_shards(made.drop("n_tokens", "n_docs"), "string").collect()
+    assert sorted(((r["doc_id"], r["start"]) for r in read), key=str) == sorted(starts, key=str)
+    assert np.concatenate([np.frombuffer(r["ids"], "<u4") for r in sorted(read, key=lambda r: r["start"])]).tolist() == whole
+    assert made.count() > 3
+    at = rng.integers(0, len(whole), 25).tolist()
+    assert {(r["position"], r["token"]) for r in wavelet.tokens_at(made, [*at, len(whole)]).collect()} == {(p, whole[p]) for p in at}
+    some = whole[:7]
+    assert {r["token"]: r["n"] for r in wavelet.token_counts(made, [*some, 49999]).collect()} == {**{t: whole.count(t) for t in some}, 49999: 0}
+    assert sorted(r["position"] for r in wavelet.token_positions(made, some[0]).collect()) == [i for i, t in enumerate(whole) if t == some[0]]
+    assert wavelet.tokens_at(made.limit(0), [1]).count() == 0
+
+
+def test_one_access_reads_a_chunk_of_each_plane():
+    ids = np.random.default_rng(2).integers(0, 8, 2_000_000).astype("<u2")
+    data, asked = wavelet.pack_shard([1], [len(ids)], ids), []
+    shard = wavelet.Shard(lambda at, size: asked.append(size) or data[at : at + size])
+    matrix = shard.matrix()
+    assert matrix.access(524_288) == ids[524_288] and sum(asked) < len(data) / 3
+    assert matrix.access(1_999_999) == ids[-1] and (matrix.decode() == ids).all()
+
+
 def test_wavelet_shards_give_the_librarys_ids(spark, odd):
     import zlib
 
@@ -458,7 +564,7 @@ def test_wavelet_shards_give_the_librarys_ids(spark, odd):
     for size in (4_000_000, 100):  # files of one document or a few, and one file a partition
         read = wavelet.read_shards(wavelet.write_shards(odd.where("doc_id is not null"), P.path("byte_bpe_50k.json"), 2, shard_tokens=size)).collect()
         got = [(r["doc_id"], r["start"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in read]
-        assert sorted((g[0], *g[2:]) for g in got) == sorted((w[0], *w[2:]) for w in want)
+        assert sorted((g[0], *g[2:]) for g in got) == sorted((w[0], *w[2:]) for w in want) and sorted(g[1] for g in got) == sorted(w[1] for w in want)
 
 
 def test_wavelet_query_on_whole_documents(spark, sf_dir, docs):

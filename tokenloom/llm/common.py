@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,6 +115,23 @@ def integral(df: DataFrame, id_col: str) -> None:
         raise TypeError(f"{id_col} must be an integer, not {kind.simpleString()}")
 
 
+#: A key with more rows than this is hot; so many hot keys are broadcast at most.
+HOT, FEW_HOT = 1000, 200_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], count: str) -> DataFrame:
+    """left joined to right, a written table with one row a key and the key's number of rows in left.
+
+    Rows of hot keys meet a broadcast of those (FEW_HOT rows at most) and are moved nowhere; the others meet
+    by an exchange, as all do where more keys are hot, which Spark may split by size."""
+    hot = right.where(F.col(count) > HOT)
+    if not 0 < hot.limit(FEW_HOT + 1).count() <= FEW_HOT:
+        return left.join(right, key)
+    keys = [key] if isinstance(key, str) else key
+    cold = left.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(right.where(F.col(count) <= HOT), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def key_of(col: str | Column) -> Column:
     """An id as a join key that is never null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))
@@ -173,6 +191,14 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+@contextmanager
+def open_ranges(path: str):
+    """read(at, size) of a file, for those who need parts of it."""
+    system, name = _fs(path)
+    with system.open_input_file(name) as f:
+        yield lambda at, size: f.read_at(size, at)
+
+
 def open_input(path: str):
     system, name = _fs(path)
     return system.open_input_stream(name, compression=None)

@@ -1,4 +1,4 @@
-"""Quality rules decided with the host: failure rates by host, shrunk by an empirical beta prior."""
+"""Quality rules decided with the host: failure rates by rule and host, shrunk by empirical beta priors."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, let, materialize, text_of, words_of
 
-#: A host is rejected if its shrunk rate of failing documents exceeds this.
+#: A host is rejected if its shrunk rate of documents that fail a rule, or any rule, exceeds this.
 HOST_LIMIT = 0.5
+RULES = ("short", "repeats", "symbols", "dup_lines")
 #: Weight of the prior, in documents, where the hosts' rates don't vary more than chance.
 FLAT_PRIOR = 100.0
 #: So many host names are broadcast at most.
@@ -41,7 +42,7 @@ def repeat_words(words: Column, n: int = 5) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep: list[str] = ()) -> DataFrame:
-    """Per document: doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed, failed.
+    """Per document: _id, _host, _n_words, _chars, _symbols, _dup_lines, _repeat_words, _rules (which of RULES it fails), _base_failed, and keep.
 
     All in built-in expressions.  A null or empty text has no words and so fails."""
     text = text_of(text_col)
@@ -53,26 +54,31 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         let(worded, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_l"),
     )
     n, repeated = F.col("_w.n_words"), F.col("_w.n_repeat_words")
-    base = (n < 10) | (100 * repeated > 20 * n)
-    other = (F.col("_symbols") * 10 > n) | (F.col("_l.dup") * 10 > F.col("_l.n") * 3)
-    return found.select(*[F.col(c) for c in keep], F.col("_id"), F.col("_host"), n.alias("_n_words"), F.col("_chars"), F.col("_symbols"), F.col("_l.dup").alias("_dup_lines"), repeated.alias("_repeat_words"), base.alias("_base_failed"), (base | other).alias("_failed"))
+    found = found.select(*[F.col(c) for c in keep], F.col("_id"), F.col("_host"), n.alias("_n_words"), F.col("_chars"), F.col("_symbols"), F.col("_l.dup").alias("_dup_lines"), repeated.alias("_repeat_words"), F.struct(
+        (n < 10).alias("short"), (100 * repeated > 20 * n).alias("repeats"), (F.col("_symbols") * 10 > n).alias("symbols"), (F.col("_l.dup") * 10 > F.col("_l.n") * 3).alias("dup_lines")).alias("_rules"))
+    return found.withColumn("_base_failed", F.col("_rules.short") | F.col("_rules.repeats"))
 
 
 def host_verdicts(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """Per host: n, fails, rate, shrunk, rejected.  A document without host counts to the host null.
-
-    The beta prior has the mean of all documents and the weight by which the hosts' rates vary beyond
-    chance (moments, weighted by documents); it is two numbers, so it is cross-joined as one row."""
-    hosts = measured.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_failed").cast("long")).alias("fails"))
-    m, between, chance = F.col("_m"), F.col("_v"), F.col("_c")
-    prior = (
-        hosts.agg((F.sum("fails") / F.sum("n")).alias("_m"), F.sum(F.col("fails") * F.col("fails") / F.col("n")).alias("_q"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
-        .withColumn("_v", F.col("_q") / F.col("_n") - m * m)
-        .withColumn("_c", m * (1 - m) * F.col("_k") / F.col("_n"))
-        .select("_m", F.when((between > chance) & (m * (1 - m) > between), F.greatest(F.lit(1.0), m * (1 - m) / (between - chance) - 1)).otherwise(F.lit(FLAT_PRIOR)).alias("_weight"))
-    )
-    shrunk = (F.col("fails") + m * F.col("_weight")) / (F.col("n") + F.col("_weight"))
-    return hosts.crossJoin(F.broadcast(prior)).select("_host", "n", "fails", (F.col("fails") / F.col("n")).alias("rate"), shrunk.alias("shrunk"), (shrunk > limit).alias("rejected"))
+    """Per host: n, rates (failures, rate and shrunk rate for each rule and for any), rejected.  A document without
+    host counts to the host null.
+
+    Each rule's beta prior has the mean of all documents and the weight by which the hosts' rates vary beyond
+    chance (moments, weighted by documents); the priors are two numbers each, so they are cross-joined as one row."""
+    fails = {r: F.col(f"_rules.{r}") for r in RULES} | {"any": F.exists(F.array(*[F.col(f"_rules.{r}") for r in RULES]), lambda x: x)}
+    hosts = measured.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x.cast("long")).alias(r) for r, x in fails.items()])
+    moments = hosts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"), *[x for r in fails for x in (F.sum(r).alias(f"{r}_sum"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_square"))])
+
+    def prior(rule: str) -> Column:
+        mean = F.col(f"{rule}_sum") / F.col("all")
+        between, by_chance = F.col(f"{rule}_square") / F.col("all") - mean * mean, mean * (1 - mean) * F.col("k") / F.col("all")
+        weight = F.when((between > by_chance) & (mean * (1 - mean) > between), F.greatest(F.lit(1.0), mean * (1 - mean) / (between - by_chance) - 1)).otherwise(F.lit(FLAT_PRIOR))
+        return F.struct(mean.alias("mean"), weight.alias("weight")).alias(f"{rule}_prior")
+
+    joined = hosts.crossJoin(F.broadcast(moments.select(*[prior(r) for r in fails])))
+    shrunk = lambda r: (F.col(r) + F.col(f"{r}_prior.mean") * F.col(f"{r}_prior.weight")) / (F.col("n") + F.col(f"{r}_prior.weight"))
+    rates = F.struct(*[F.struct(F.col(r).alias("fails"), (F.col(r) / F.col("n")).alias("rate"), shrunk(r).alias("shrunk")).alias(r) for r in fails])
+    return joined.select("_host", "n", rates.alias("rates"), F.greatest(*[shrunk(r) for r in fails]).alias("worst")).withColumn("rejected", F.col("worst") > limit)
 
 
 def judge(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
@@ -97,11 +103,8 @@ def quality_report(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 
 def keep_good(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that pass, with all their columns.  The texts that pass the base rules are written once
-    with their measures; the host verdict is joined to them without moving a text."""
-    cols = docs.columns
-    kept_names = [f"_c{i}" for i in range(len(cols))]
-    renamed = docs.select("*", *[F.col(f"`{c}`").alias(n) for c, n in zip(cols, kept_names)])
-    m = measure(renamed, keep=kept_names)
-    slim = m.select(*[F.when(~F.col("_base_failed"), F.col(n)).alias(n) for n in kept_names], "_host", "_base_failed", "_failed")
-    judged = judge(materialize(slim, "measured"), limit)
-    return judged.where("_kept").select(*[F.col(n).alias(c) for c, n in zip(cols, kept_names)])
+    with their measures; the host verdict is joined to them without moving a text.  Columns may have any names;
+    repeated rows are judged each, and an empty table gives no rows."""
+    m = measure(docs.select("doc_id", "text", "source", F.struct("*").alias("row")), keep=["row"])
+    slim = m.select(F.when(~F.col("_base_failed"), F.col("row")).alias("row"), "_host", "_base_failed", "_rules")
+    return judge(materialize(slim, "measured"), limit).where("_kept").select("row.*")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, key_of, map_arrow, materialize, text_of
+from .common import BLANKS, integral, join_hot, key_of, map_arrow, materialize, text_of
 from .tokens import release, texts_of
 
 PASS_WORDS = 50
@@ -125,13 +125,25 @@ def repeated_lines(keyed: DataFrame, pass_words: int = PASS_WORDS, gram_words: i
     the texts share costs rows in proportion to its copies, never pairs of them."""
     table = materialize(line_table(keyed, pass_words, gram_words), "lines")
     prints = table.select("_k", "_t", F.explode("prints").alias("p")).select("_k", "_t", F.col("p.at").alias("at"), F.col("p.gram").alias("gram"))
-    many = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram")
-    shared = prints.join(many, "gram").groupBy("_k", "_t").agg(F.array_sort(F.collect_set("at")).alias("shared"))
+    many = materialize(prints.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "grams")
+    shared = join_hot(prints, many, "gram", "_n").groupBy("_k", "_t").agg(F.array_sort(F.collect_set("at")).alias("shared"))
     reached = materialize(extended(table.join(shared, ["_k", "_t"]), pass_words, gram_words), "reached")
     place = F.struct("_k", "_t", "line")
-    # Written first, so that Spark can part the rows of a run that many texts have when it joins them.
-    first = materialize(reached.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("run", "first"), "firsts")
-    return reached.join(first, "run").where(place != F.col("first")).groupBy("_k", "_t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
+    first = materialize(reached.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "firsts")
+    return join_hot(reached, first, "run", "_n").where(place != F.col("first")).groupBy("_k", "_t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
+
+
+def freed(docs: DataFrame, id_col: str, text_col: str, pass_words: int, gram_words: int) -> DataFrame:
+    """row (all columns of docs), text (what is left), n_lines, n_gone per row of docs."""
+    integral(docs, id_col)
+    keys = [key_of(id_col).alias("_k"), F.xxhash64(text_of(text_col)).alias("_t")]
+    gone = repeated_lines(docs.select(*keys, text_of(text_col).alias("_text")), pass_words, gram_words)
+    joined = docs.select(*keys, F.struct("*").alias("row")).join(gone, ["_k", "_t"], "left")
+    text = F.col(f"row.`{text_col}`")
+    lines = F.split(text, "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    left = F.when(F.col("gone").isNull(), text).when(F.regexp_replace(left, BLANKS, "") == "", F.lit("")).otherwise(left)
+    return joined.select("row", left.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_gone"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_words: int = PASS_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
@@ -140,15 +152,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The order is that of id (null first), then of a hash of the text, then of lines.  Lines are compared
     without blanks around them; lines without words are passed over, and stay.  A text that loses all its
     words is empty.  Rows that repeat id and text are one text in the comparison, and keep the same lines;
-    a null text stays null.  An empty table gives no rows.  n_lines and n_gone replace columns of that name."""
-    keyed = docs.drop("n_lines", "n_gone").withColumn("_k", key_of(id_col)).withColumn("_t", F.xxhash64(text_of(text_col)))
-    gone = repeated_lines(keyed.select("_k", "_t", text_of(text_col).alias("_text")), pass_words, gram_words)
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).when(F.regexp_replace(left, BLANKS, "") == "", F.lit("")).otherwise(left)
-    joined = keyed.join(gone, ["_k", "_t"], "left")
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_gone")]
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in cols], F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_gone"))
+    a null text stays null.  An empty table gives no rows.  n_lines and n_gone replace columns of that name;
+    other columns may have any names.  Ids are integers; others are refused."""
+    cols = [c for c in docs.columns if c.lower() not in ("n_lines", "n_gone")]
+    made = freed(docs, id_col, text_col, pass_words, gram_words)
+    return made.select(*[F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in cols], "n_lines", "n_gone")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -158,10 +166,10 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs without their later repeats; n_chars, where there is one, counts what is left.  A document whose
-    words are all repeats is dropped; one that had no words before stays."""
-    made = drop_repeated_lines(docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    made = made.where((F.col("n_gone") == 0) | (text != ""))
+    words are all repeats is dropped; one that had no words before stays.  Columns may have any names."""
+    made = freed(docs, "doc_id", "text", PASS_WORDS, GRAM_WORDS)
+    made = made.where((F.col("n_gone") == 0) | (F.coalesce("text", F.lit("")) != ""))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.col("n_gone") == 0, F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_gone") == 0, F.col("row.n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
+    return made.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, integral, key_of, map_arrow, materialize, new_path, read_file, text_of, write_file
+from .common import BLANKS, integral, join_hot, key_of, map_arrow, materialize, new_path, read_file, text_of, write_file
 from .graph import components
 from .tokens import release, texts_of
 
@@ -383,8 +383,8 @@ def links_at(tries: DataFrame, sets: DataFrame, shape: tuple[int, int], depth: i
     if before:  # one branch alone has nothing new
         nodes = nodes.where("z <> w")
     # nodes with the same texts in several trees: the first does
-    kept = nodes.groupBy("n", "x", "y").agg(F.min(F.struct("t", "key")).alias("b")).select("n", F.col("b.t").alias("t"), F.col("b.key").alias("key"))
-    members = materialize(rows.join(kept, ["t", "key"]).select("t", "key", "n", "h"), "members")
+    kept = materialize(nodes.groupBy("n", "x", "y").agg(F.min(F.struct("t", "key")).alias("b")).select("n", F.col("b.t").alias("t"), F.col("b.key").alias("key")), "nodes")
+    members = materialize(join_hot(rows, kept, ["t", "key"], "n").select("t", "key", "n", "h"), "members")
     small = verify(members.where(F.col("n") <= BLOCK).join(sets, "h"), shape, depth, before, threshold)
     if members.where(F.col("n") > BLOCK).limit(1).count():
         block = F.pmod(F.xxhash64(F.lit(2), "h"), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int")
@@ -434,8 +434,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = materialize(own, "own")
     # a text that is its class alone needs no join, and the least id of the others is joined to texts, not to rows
     grouped = own.where("n_links > 0")
-    least = grouped.groupBy("root").agg(F.min("_rep").alias("class_id"))
-    placed = own.where("n_links = 0").select("h", "n_copies", "n_links", "root", F.col("_rep").alias("class_id")).union(grouped.join(least, "root").select("h", "n_copies", "n_links", "root", "class_id"))
+    least = materialize(grouped.groupBy("root").agg(F.min("_rep").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
+    placed = own.where("n_links = 0").select("h", "n_copies", "n_links", "root", F.col("_rep").alias("class_id")).union(join_hot(grouped, least, "root", "n").select("h", "n_copies", "n_links", "root", "class_id"))
     mine = signed.select("_id", "_k", "h", F.col("labels").isNotNull().alias("_worded")).join(placed, "h", "left")
     return mine.select("_id", "_k", "h", F.coalesce("root", "h").alias("root"), "_worded", F.when(F.col("_worded"), F.col("class_id")).otherwise(F.col("_k")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 

@@ -108,11 +108,12 @@ m AS (SELECT w.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(re
   CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(ln.dup, 0) AS BIGINT) AS n_dup_lines, coalesce(ln.n, 0) AS n_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN ln ON ln.doc_id = w.doc_id),
 j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-f AS (SELECT *, base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 10 > n_lines * 3 AS failed FROM j),
-hosts AS (SELECT source, count(*) AS n, sum(CAST(failed AS INT)) AS fails FROM f GROUP BY source),
-p AS (SELECT sum(fails) / sum(n) AS m, sum(fails * fails / n) / sum(n) - (sum(fails) / sum(n)) * (sum(fails) / sum(n)) AS v, count(*) / sum(n) AS k FROM hosts),
-q AS (SELECT m, CASE WHEN v > m * (1 - m) * k AND m * (1 - m) > v THEN greatest(1.0, m * (1 - m) / (v - m * (1 - m) * k) - 1) ELSE 100.0 END AS weight FROM p),
-bad AS (SELECT source, (fails + m * weight) / (n + weight) > 0.5 AS rejected FROM hosts, q)
+f AS (SELECT *, [n_words < 10, 100 * n_repeat_words > 20 * n_words, n_symbols * 10 > n_words, n_dup_lines * 10 > n_lines * 3] AS rules FROM j),
+hosts AS (SELECT source, rule, count(*) AS n, sum(CAST(failed AS INT)) AS fails
+  FROM (SELECT source, unnest(['short', 'repeats', 'symbols', 'dup_lines', 'any']) AS rule, unnest(list_append(rules, list_bool_or(rules))) AS failed FROM f) GROUP BY source, rule),
+p AS (SELECT rule, sum(fails) / sum(n) AS m, sum(fails * fails / n) / sum(n) - (sum(fails) / sum(n)) * (sum(fails) / sum(n)) AS v, count(*) / sum(n) AS k FROM hosts GROUP BY rule),
+q AS (SELECT rule, m, CASE WHEN v > m * (1 - m) * k AND m * (1 - m) > v THEN greatest(1.0, m * (1 - m) / (v - m * (1 - m) * k) - 1) ELSE 100.0 END AS weight FROM p),
+bad AS (SELECT source, bool_or((fails + m * weight) / (n + weight) > 0.5) AS rejected FROM hosts JOIN q ON hosts.rule = q.rule GROUP BY source)
 """
 
 OP10 = f"WITH {MEASURED} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad.rejected AS kept FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source"
