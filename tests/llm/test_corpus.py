@@ -320,6 +320,73 @@ def test_main_text_weighs_regions_and_densities():
     assert htmltext.main_text(f"<article><p>{middle}</article><div id=comments><p>Yes, I like it<p>{middle}<p>No</div>") == middle
 
 
+def test_main_text_of_all_pages(spark, sf_dir):
+    """Against the standard library's parser: the blocks of the article, and no more."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.out, self.parts = 0, [], []
+
+        def cut(self):
+            text = " ".join("".join(self.parts).split())
+            self.out += [text] if text and self.inside else []
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in htmltext.BLOCK:
+                self.cut()
+            self.inside += tag == "article"
+            self.parts.append(" " if tag == "br" else "")
+
+        def handle_endtag(self, tag):
+            if tag in htmltext.BLOCK:
+                self.cut()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.cdata_elem is None:
+                self.parts.append(data)
+
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = registry.op6_main_text(spark, sf_dir).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        own = Article()
+        own.feed(pages[r["page_id"]])
+        own.close()
+        own.cut()
+        assert r["text"] == "\n".join(own.out) and r["n_chars"] == len(r["text"])
+    counts = np.array([htmltext.decided(x) for x in pages.values()]).sum(axis=0)
+    assert counts[1] > counts[2] > 0  # densities decide more blocks than neighbours do
+
+
+HOSTILE = ["<div class=a ", "<a '", "<a x='", "<a x='>", "<a x=\"'>", "<p y='\">z", "<script", "</script", "<script></script ", "<button ", "<button>", "<select><option ", "<form>", "</form ", "<!--", "<![CDATA[", "<svg>", "<td>", "<table>", "<ul><li>", "<span class=ad>", "</p>", "<p>a", "&amp", "&#", "_nav", "<div class='_nav_nav", "< <<", "<a x = ", "x=' '"]
+
+
+def test_main_text_is_read_in_linear_time():
+    import time
+
+    for bit in HOSTILE:
+        for page in (bit * (1_000_000 // len(bit)), f"<article><p>{bit * (500_000 // len(bit))}</article>>'\"" + bit * (500_000 // len(bit))):
+            began = time.process_time()
+            htmltext.main_text(page)
+            assert time.process_time() - began < 8, bit
+    story = ("This is the text of the story and it is long enough to be good in every way. " * 3).strip()
+    assert htmltext.main_text(f'<p title="abc>{story}</p><p>End.') == f"{story}\nEnd."
+    assert htmltext.main_text(f'<p title="a > b" data-x=\'</p>"\'>{story}</p>') == story
+    assert htmltext.main_text(f"<p it's>{story}</p><p>{story}</p>") == f"{story}\n{story}"
+
+
+def test_main_text_rows(spark):
+    story = ("This is the text of the story and it is long enough to be good in every way. " * 3).strip()
+    long = "<article>" + f"<p>{story}" * 5000 + "</article>"
+    rows = [(1, "u", f"<p>{story}", 3, "t"), (1, "u", f"<p>{story}", 3, "t"), (2, "v", long, 1, "t"), (None, None, None, None, None)]
+    got = sorted((r["page_id"] or 0, r["url"], r["n_chars"]) for r in htmltext.extract_report(spark.createDataFrame(rows, "page_id bigint, url string, html string, n_chars int, text string")).collect())
+    assert got == [(0, None, 0), (1, "u", len(story)), (1, "u", len(story)), (2, "v", 5000 * len(story) + 4999)]
+
+
 def test_fingerprint_estimates_likeness(spark, sf_dir, docs):
     def shingles(text):
         w = WORDS(text)

@@ -1,13 +1,15 @@
 """Main text of web pages by two passes over blocks.
 
-Pass one weighs each block by link density, length and the density of stop words, and by the region it is
-in.  Navigation, footers, asides, menus, dialogs, forms and what is hidden are out.  Other regions are
-evidence: in one that says that it is the article, a block stays unless it is mostly links; in one whose
-name is foreign (advert, comments, sidebar ...), a block goes unless it is long and has many stop words; in
-an article within a foreign region the densities decide alone, as where nothing is said.  Pass two gives the
-undecided blocks the label of the nearest decided neighbours; where there is evidence, of those in the same
-region, and that of the evidence if there are none or, in a foreign region, if less than half of it is text
-that stays."""
+Pass one weighs each block by link density, length and the density of stop words: a block is text, is none, or
+is undecided.  What the page itself marks as foreign is taken out before: navigation, footers, asides, menus,
+dialogs, forms and what is hidden.  Other regions are evidence: in one that says that it is the article no
+block is refused but for its links; in one whose name is foreign (advert, comments, sidebar ...) a block must
+be long to be text; in an article within a foreign region the densities decide alone, as where nothing is said.
+Pass two gives the undecided blocks the label of the nearest decided neighbours; where there is evidence, of
+those in the same region, and that of the evidence if there are none or, in a foreign region, if less than half
+of it is text that stays.  In an article a list of links takes no block without links along.
+
+The page is read once from left to right, in time that grows with its length whatever it holds."""
 from __future__ import annotations
 
 import html
@@ -38,12 +40,14 @@ no nos o para pero por porque que quien se ser si sin sobre son su sus también
 
 #: Elements whose text isn't the page's.  RAW ones, unclosed, go on to the end as in HTML; the others are dropped
 #: only if they are closed, and by the first closing tag; all but NESTING ones also end where one of their kind opens.
-RAW = "script|style|textarea"
+RAW = frozenset("script style textarea".split())
 DROPPED = frozenset("noscript template svg math iframe object canvas audio video select button title".split())
 NESTING = frozenset("template svg math object".split())
-SAME = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I) for tag in DROPPED | {"form"}}
+SAME = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in DROPPED | {"form"} | set(RAW)}
 OPTIONS = re.compile(r"(?:\s*</?(?:option|optgroup)\b[^>]*>[^<]*)*", re.I)
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+OPEN = re.compile(r"<(?:!--|!\[CDATA\[|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])", re.I)
+#: What matters inside a tag: its end, and a value in quotes.
+STOP = re.compile(r">|=\s*[\"']")
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose region matters to what is inside them.
 REGION = frozenset("article aside blockquote body details dialog div dl figure footer form header html main menu nav ol section table td ul p span".split())
@@ -52,9 +56,9 @@ CELL = frozenset("td th tr tbody thead tfoot".split())
 VOID = frozenset("br hr img input link meta wbr col area base embed source track".split())
 #: Names, in class, id or role, of regions that aren't the article.
 FOREIGN_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|captcha|comments?(?:list|section|area)?|consent|contentinfo|cookies?|copyright|dialog|disqus|disclaimer|dropdown|footer|footnav|gdpr|"
-    r"header|hidden|login|masthead|menu\w*|modal|nav\w*|newsletter|notice|notices|notification|overlay|pagination|pager|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|"
-    r"sidebar\w*|signup|skip|social|sponsor\w*|subscribe|tags?|teaser|toolbar|topbar|widget\w*|complementary|navigation|alert|responses|discussion)(?:$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|advert[^\W_]*|banner|breadcrumbs?|byline|captcha|comments?(?:list|section|area)?|consent|contentinfo|cookies?|copyright|dialog|disqus|disclaimer|dropdown|footer|footnav|gdpr|"
+    r"header|hidden|login|masthead|menu[^\W_]*|modal|nav[^\W_]*|newsletter|notice|notices|notification|overlay|pagination|pager|popup|promo[^\W_]*|recommend[^\W_]*|related|replies|reply|respond|search|share|sharing|"
+    r"sidebar[^\W_]*|signup|skip|social|sponsor[^\W_]*|subscribe|tags?|teaser|toolbar|topbar|widget[^\W_]*|complementary|navigation|alert|responses|discussion)(?:$|[\s_-])", re.I)
 OWN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story|body|text)(?:$|[\s_-])", re.I)
 HEADING = re.compile(r"(?:entry|article|post|story)[-_]?(?:header|head|title)", re.I)
 NAMES = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -95,6 +99,36 @@ def region_of(tag: str, attributes: str, outer: int | None, fresh: int) -> int |
     return GOOD if outer is None else fresh + 1
 
 
+class Tags:
+    """Finds where tags end, each part of the page being looked at once."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.dead = page, page.rfind(">"), set()
+        self.stop: re.Match | None = None
+        self.since = 0
+
+    def end(self, at: int) -> int:
+        """The index behind the tag whose name ends at `at`.  Quoted values may hold any character; if a quote is
+        never closed the tag ends at the next >, and if there is none, with the page."""
+        begin, passed = at, []
+        while at <= self.last:
+            if self.stop is None or not self.since <= at <= self.stop.start():
+                self.stop, self.since = STOP.search(self.page, at), at
+            stop = self.stop
+            if stop[0] == ">":
+                return stop.end()
+            if stop.start() in self.dead:
+                break
+            passed.append(stop.start())
+            close = self.page.find(stop[0][-1], stop.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(passed)
+        plain = self.page.find(">", begin) if begin <= self.last else -1
+        return plain + 1 if plain >= 0 else len(self.page)
+
+
 def blocks(page: str) -> list[tuple[str, int, int | None]]:
     """(text, characters in links, region) of each block with text, in page order; none of a form's."""
     out: list[tuple[str, int, int | None]] = []
@@ -104,7 +138,7 @@ def blocks(page: str) -> list[tuple[str, int, int | None]]:
     fresh = count(FOREIGN, 2)
     region: int | None = None
     parts: list[str] = []
-    linked, in_link, at = 0, False, 0
+    linked, in_link, at, tags = 0, False, 0, Tags(page)
 
     def close() -> None:
         nonlocal parts, linked
@@ -129,51 +163,59 @@ def blocks(page: str) -> list[tuple[str, int, int | None]]:
             end = SAME[tag].search(page, end.end())
         if end is None:
             unclosed.add(tag)
-        return end.end() if end and end[1] else -1
+        return tags.end(end.end()) if end and end[1] else -1
 
-    while m := TOKEN.search(page, at):
+    while m := OPEN.search(page, at):
         if m.start() > at:
             raw = page[at : m.start()]
             parts.append(raw)
             if in_link:
                 linked += len(SPACE.sub(" ", html.unescape(raw)).strip())
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1]:
-                parts.append(" ") if parts else None
+        closing, tag = m[1], (m[2] or "").lower()
+        if not tag:
+            mark = {"<!--": "-->", "<![cdata[": "]]>"}.get(m[0].lower(), ">")
+            end = page.find(mark, m.end())
+            at = end + len(mark) if end >= 0 else len(page)
+            continue
+        at = tags.end(m.end())
+        attributes = page[m.end() : at - 1]
+        if tag in RAW:
+            end = SAME[tag].search(page, at) if not closing else None
+            while end and not end[1]:
+                end = SAME[tag].search(page, end.end())
+            at = at if closing else tags.end(end.end()) if end else len(page)
+            parts.append(" ") if parts else None
             continue
-        tag = tag.lower()
         if tag in DROPPED:
-            if not m[2] and not (tag in ("svg", "math") and m[4].rstrip().endswith("/")):
+            if not closing and not (tag in ("svg", "math") and attributes.rstrip().endswith("/")):
                 end = closed(tag)
                 at = end if end >= 0 else OPTIONS.match(page, at).end() if tag == "select" else at
             parts.append(" ") if parts else None
             continue
         if tag in BLOCK:
             close()
-            if not m[2] and opened["p"]:
+            if not closing and opened["p"]:
                 leave(opened["p"][-1])
         elif tag in ("br", "img", "wbr"):
             parts.append(" ") if tag == "br" else None
         if tag == "a":
-            in_link = not m[2]
+            in_link = not closing
         if tag in CELL:
             if opened["td"] and opened["td"][-1] > (opened["table"][-1] if opened["table"] else -1):
                 leave(opened["td"][-1])
                 in_link = False
-            if m[2]:
+            if closing:
                 continue
         if tag in REGION and tag not in VOID:
-            if m[2]:
+            if closing:
                 if opened[tag] and (tag != "span" or opened[tag][-1] == len(stack) - 1):
                     i = opened[tag][-1]
                     if tag == "span" and stack[i][1] != (stack[i - 1][1] if i else None):
                         close()
                     leave(i)
                     in_link = False if tag != "span" else in_link
-            elif not m[4].rstrip().endswith("/"):
-                inner = GONE if tag == "form" and region != GONE and closed(tag) >= 0 else region_of(tag, m[4], region, next(fresh))
+            elif not attributes.rstrip().endswith("/"):
+                inner = GONE if tag == "form" and region != GONE and closed(tag) >= 0 else region_of(tag, attributes, region, next(fresh))
                 if tag == "span" and inner != region:
                     close()
                 opened[tag].append(len(stack))
@@ -202,9 +244,9 @@ def density_label(text: str, linked: int) -> int:
 def first_label(text: str, linked: int, region: int | None) -> int:
     if region == BAD or linked > LINK_MOST * len(text):
         return BAD
-    if region == GOOD:
-        return UNSURE if linked > LINK_HIGH * len(text) else GOOD
     label = density_label(text, linked)
+    if region == GOOD:
+        return label if label == GOOD else UNSURE
     if region is None or region % 2 == 1:
         return label
     return UNSURE if label == GOOD and len(text) < LONG else label
@@ -243,10 +285,18 @@ def labels(found: list[tuple[str, int, int | None]]) -> list[int]:
         kept = sum(len(found[i][0]) for i in own if first[i] == GOOD)
         follow = region == GOOD or 2 * kept >= sum(len(found[i][0]) for i in own)
         for i, label in zip(own, settled([first[i] if follow or first[i] != UNSURE else BAD for i in own], GOOD if region == GOOD else BAD), strict=True):
-            out[i] = label
+            out[i] = GOOD if region == GOOD and not found[i][1] else label
     return out
 
 
+def decided(page: str) -> tuple[int, int, int]:
+    """How many blocks the page's own marks took out, how many pass one decided and how many pass two."""
+    found = blocks(page)
+    marked = sum(region == BAD for _, _, region in found)
+    unsure = sum(first_label(*b) == UNSURE for b in found)
+    return marked, len(found) - marked - unsure, unsure
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
     return "\n".join(text for (text, _, _), label in zip(found, labels(found), strict=True) if label == GOOD)
@@ -254,7 +304,8 @@ def main_text(page: str) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """page_id, url, text per page.  A null or empty html, or one without main text, gives an empty text; a
-    null url stays null.  Repeated rows are read each; an empty table gives no rows."""
+    null url stays null.  Repeated rows are read each; an empty table gives no rows; other columns are not
+    looked at.  A page is read whole, however long, in time that grows with its length."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
