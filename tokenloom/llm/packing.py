@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_names, map_arrow, materialize, ship
-from .tokens import encoder, texts_of
+from .tokens import encoder, release, texts_of
 
 #: (part, groups): pieces longer than capacity / part are large, and in so many groups.  Each is planned
 #: and the plan with the fewest sequences holds, of equal ones the first.  The last is best fit alone in all
@@ -174,16 +174,28 @@ def slots(runs: list[tuple[list[tuple[int, int]], int]]) -> dict[int, dict[str,
     return out
 
 
+def ranks_of(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The rank of each length among the equal ones so far; seen, how many there were of each, is counted on."""
+    order = lengths.argsort(kind="stable")
+    rank = np.empty(len(lengths), np.int64)
+    rank[order] = np.arange(len(lengths)) - np.searchsorted(lengths[order], lengths[order]) + seen[lengths[order]]
+    seen += np.bincount(lengths, minlength=len(seen))
+    return rank
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and ids: documents with their end id, only longer ones cut."""
+    """doc_id, piece, start, length and ids: documents with their end id, only longer ones cut; and place, which pack() takes."""
     import pyarrow as pa
 
-    names = ["doc_id", "piece", "start", "length", "ids"]
+    names = ["doc_id", "piece", "start", "length", "ids", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         encode, end = encoder(tokenizer).encode_all, np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            out: list[list] = [[] for _ in names]
+            out: list[list] = [[] for _ in names[:-1]]
             for doc_id, own in zip(batch.column(0), encode(texts_of(batch.column(1))), strict=True):
                 ids = np.frombuffer(own + end, dtype="<u2").astype("<u4")
                 for k in range(0, len(ids), capacity):
@@ -191,14 +203,17 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                     for column, value in zip(out, (doc_id.as_py(), k // capacity, k, len(data) // 4, data), strict=True):
                         column.append(value)
             types = [batch.schema[0].type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            rank = ranks_of(np.array(out[3], np.int64), seen)
+            place = pa.StructArray.from_arrays([pa.array(np.full(len(rank), part, np.int32)), pa.array(rank)], ["part", "rank"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types, strict=True)), place], names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids binary")
+    return map_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids binary, place struct<part:int,rank:bigint>")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """pieces (any columns, with length long from 1 to capacity) with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int = 2048, place: str | None = None) -> DataFrame:
+    """pieces (any columns, with length long from 1 to capacity) with sequence_id and offset, and without place:
+    the column, if there is one, that has each row's partition and rank among those of its length.
 
     Pieces of one length are interchangeable, so each needs only its rank among them: its rank inside its
     partition, numbered as the pieces are written, and how many the partitions before have.  Beside that
@@ -210,18 +225,13 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for lengths in batches:
-            own = lengths.to_numpy()
-            order = own.argsort(kind="stable")
-            inner = np.arange(len(own)) - np.searchsorted(own[order], own[order])  # place among the equal ones of this batch
-            rank = np.empty(len(own), np.int64)
-            rank[order] = inner + seen[own[order]]
-            seen += np.bincount(own, minlength=capacity + 1)
-            yield pd.DataFrame({"part": np.full(len(own), part, np.int32), "rank": rank})
+            rank = ranks_of(lengths.to_numpy(), seen)
+            yield pd.DataFrame({"part": np.full(len(rank), part, np.int32), "rank": rank})
 
     place_name, base_name, part_name = fresh_names(pieces, "place", "bases", "part")
     ship(pieces.sparkSession)
-    numbered = F.pandas_udf(number, "part int, rank long")
-    kept = materialize(pieces.withColumn(place_name, numbered("length")), "pieces")
+    kept = pieces.withColumn(place_name, F.pandas_udf(number, "part int, rank long")("length")) if place is None else pieces.withColumnRenamed(place, place_name)
+    kept = materialize(kept, "pieces")
     counts = kept.groupBy(F.col(f"{place_name}.part").alias("part"), "length").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "lengths")
     runs = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
@@ -232,7 +242,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     few = counts.select("part", "length").limit(SMALL_BASES + 1).count() <= SMALL_BASES
     based = kept.join(F.broadcast(bases) if few else bases, F.col(f"{place_name}.part") == F.col(part_name))
 
-    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+    def seat(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        release()
         lengths, ranks = lengths.to_numpy(), ranks.to_numpy()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for length in np.unique(lengths):
@@ -244,9 +255,9 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             offset[own] = t["offset"][block] + inner % t["copies"][block] * length
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    placed = F.pandas_udf(place, "sequence_id long, offset long")
+    placed = F.pandas_udf(seat, "sequence_id long, offset long")
     ranked = based.withColumn(place_name, placed(F.col("length"), F.col(base_name)[F.col("length")] + F.col(f"{place_name}.rank")))
-    return ranked.select(*[F.col(f"`{c}`") for c in pieces.columns], F.col(f"{place_name}.sequence_id").alias("sequence_id"), F.col(f"{place_name}.offset").alias("offset"))
+    return ranked.select(*[F.col(f"`{c}`") for c in pieces.columns if c != place], F.col(f"{place_name}.sequence_id").alias("sequence_id"), F.col(f"{place_name}.offset").alias("offset"))
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -254,7 +265,7 @@ def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_
 
     A null or empty text is one piece with the end id alone.  Repeated rows are packed each; an empty table
     gives no rows; other columns are not looked at."""
-    packed = pack(tokenized_pieces(docs, tokenizer, capacity, end_id), capacity)
+    packed = pack(tokenized_pieces(docs, tokenizer, capacity, end_id), capacity, "place")
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "ids", "sequence_id", "offset")
 
 

@@ -19,15 +19,6 @@ GROUPED = 1 << 20
 MARK = "\x01"
 
 
-def pieces(text: str) -> list[str]:
-    """text cut at each space that stands alone between two non-blank characters; the spaces are left out.
-
-    Byte-level pre-tokenizers put such a space at the head of the next token and never look across it, so
-    the pieces' ids, each but the first with its space, are the text's ids."""
-    odd = text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or any(b in text for b in BLANK)
-    return LONE.split(text) if odd else text.split(" ")
-
-
 def ends_word(c: str) -> bool:
     """Whether a piece that ends in c still ends in a letter when a normalizer has composed and lower-cased it."""
     return c.isalpha() and unicodedata.normalize("NFC", unicodedata.normalize("NFC", c).lower())[-1:].isalpha()
@@ -59,6 +50,20 @@ class TextEncoder:
                 self.widths[i] = len(token)
         mark = self.tokenizer.encode(" x " + MARK + " x", add_special_tokens=False).ids
         self.mark = mark[1] if len(mark) == 3 and self.widths is None else None
+        spaced = [t.ids for t in self.tokenizer.encode_batch(["ab cd", "\n ab\n\ncd "], add_special_tokens=False)]
+        #: Whether blanks do nothing but separate.
+        self.plain = self.mark is not None and spaced[0] == spaced[1]
+
+    def cut(self, text: str) -> list[str]:
+        """text cut at each space that stands alone between two non-blank characters; the spaces are left out.
+
+        Byte-level pre-tokenizers put such a space at the head of the next token and never look across it, so
+        the pieces' ids, each but the first with its space, are the text's ids.  Where blanks do nothing but
+        separate, the text is cut at all of them."""
+        blank = any(b in text for b in BLANK)
+        if self.plain and not blank:
+            return text.split()
+        return LONE.split(text) if blank or text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text else text.split(" ")
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """The ids of each piece, with a space before it: all are encoded as one text.  Where a piece begins
@@ -92,9 +97,12 @@ class TextEncoder:
         if odd:
             plain = iter(self.encode_many([t for i, t in enumerate(texts) if i not in odd])) if len(odd) < len(texts) else iter(())
             return [odd[i] if i in odd else next(plain) for i in range(len(texts))]
-        parts, known = [pieces(t) for t in texts], self.known
-        heads = [np.asarray(x.ids, dtype="<u2").tobytes() for x in self.tokenizer.encode_batch_fast([own[0] for own in parts], add_special_tokens=False)]
-        found = [[head, *map(known.get, own[1:])] for head, own in zip(heads, parts, strict=True)]
+        parts, known = [self.cut(t) for t in texts], self.known
+        if self.plain:
+            found = [list(map(known.get, own)) for own in parts]
+        else:
+            heads = [np.asarray(x.ids, dtype="<u2").tobytes() for x in self.tokenizer.encode_batch_fast([own[0] for own in parts], add_special_tokens=False)]
+            found = [[head, *map(known.get, own[1:])] for head, own in zip(heads, parts, strict=True)]
         gaps = [[i for i, ids in enumerate(got) if ids is None] if None in got else () for got in found]
         new = {own[i] for own, gap in zip(parts, gaps, strict=True) for i in gap}
         if new:
