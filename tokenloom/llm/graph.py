@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,12 +16,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.union(now.select("root", "h").toDF("h", "root"))
-        least = both.groupBy("h").agg(F.min("root").alias("_m")).select("h", F.least("h", "_m").alias("_m"))
-        large = both.where("root > h").join(least, "h").select(F.col("root").alias("h"), F.col("_m").alias("root")).where("h != root").distinct()
+        least = materialize(both.groupBy("h").agg(F.least("h", F.min("root")).alias("_m"), F.count(F.lit(1)).alias("_n")), "least")
+        large = join_hot(both.where("root > h"), least, "h", "_n").select(F.col("root").alias("h"), F.col("_m").alias("root")).where("h != root").distinct()
         large = materialize(large, "large-star")
-        smallest = large.groupBy("h").agg(F.min("root").alias("_m"))
-        down = large.join(smallest, "h").select(F.col("root").alias("h"), F.col("_m").alias("root")).where("h != root")
-        small = materialize(down.union(smallest.toDF("h", "root")).distinct(), "small-star")
+        smallest = materialize(large.groupBy("h").agg(F.min("root").alias("_m"), F.count(F.lit(1)).alias("_n")), "smallest")
+        down = join_hot(large, smallest, "h", "_n").select(F.col("root").alias("h"), F.col("_m").alias("root")).where("h != root")
+        small = materialize(down.union(smallest.select("h", F.col("_m").alias("root"))).distinct(), "small-star")
         found = mark(small)
         now = small
         if found == seen:
