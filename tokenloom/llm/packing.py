@@ -11,12 +11,11 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_names, map_arrow, materialize, ship
-from .tokens import encoder, release, texts_of
+from .tokens import encoder, texts_of
 
 #: (part, groups): pieces longer than capacity / part are large, and in so many groups.  Each is planned
 #: and the plan with the fewest sequences holds, of equal ones the first.  The last is best fit alone in all
@@ -24,6 +23,8 @@ from .tokens import encoder, release, texts_of
 GRAINS = ((4, 96), (6, 96), (2, 48))
 #: So many counts (a partition's pieces of a length) are broadcast at most: 16 bytes each and some overhead.
 SMALL_BASES = 1_000_000
+#: Tokens that a worker hands over together.
+FLUSHED = 1 << 20
 
 
 def group_sizes(large: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int]]]:
@@ -157,20 +158,17 @@ def grouped_plan(counts: dict[int, int], capacity: int, part: int, groups: int)
     return [run for gap in gaps for run in open_runs[gap]]
 
 
-def slots(runs: list[tuple[list[tuple[int, int]], int]]) -> dict[int, dict[str, np.ndarray]]:
-    """For each length the places for it, as blocks: rank of the first, first sequence, copies in each, offset."""
-    raw: dict[int, list[tuple[int, int, int, int]]] = {}
-    first = 0
+def slots(runs: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int, tuple[int, int, int, int, int]]]:
+    """(length, (rank of the first, how many, first sequence, copies in each, offset)) for each block of places."""
+    out, seen, first = [], {}, 0
     for pattern, times in runs:
         offset = 0
         for length, copies in pattern:
-            raw.setdefault(length, []).append((copies * times, first, copies, offset))
+            before = seen.get(length, 0)
+            out.append((length, (before, copies * times, first, copies, offset)))
+            seen[length] = before + copies * times
             offset += length * copies
         first += times
-    out = {}
-    for length, blocks in raw.items():
-        n, base, copies, offset = map(np.array, zip(*blocks, strict=True))
-        out[length] = {"rank": np.cumsum(n) - n, "base": base, "copies": copies, "offset": offset}
     return out
 
 
@@ -194,18 +192,25 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         encode, end = encoder(tokenizer).encode_all, np.array([end_id], "<u2").tobytes()
+
+        def flush(out: list[list], kind: pa.DataType) -> pa.RecordBatch:
+            rank = ranks_of(np.array(out[3], np.int64), seen)
+            place = pa.StructArray.from_arrays([pa.array(np.full(len(rank), part, np.int32)), pa.array(rank)], ["part", "rank"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, (kind, pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)), place], names)
+
         for batch in batches:
-            out: list[list] = [[] for _ in names[:-1]]
+            out, size = [[] for _ in names[:-1]], 0
             for doc_id, own in zip(batch.column(0), encode(texts_of(batch.column(1))), strict=True):
                 ids = np.frombuffer(own + end, dtype="<u2").astype("<u4")
                 for k in range(0, len(ids), capacity):
                     data = ids[k : k + capacity].tobytes()
                     for column, value in zip(out, (doc_id.as_py(), k // capacity, k, len(data) // 4, data), strict=True):
                         column.append(value)
-            types = [batch.schema[0].type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            rank = ranks_of(np.array(out[3], np.int64), seen)
-            place = pa.StructArray.from_arrays([pa.array(np.full(len(rank), part, np.int32)), pa.array(rank)], ["part", "rank"])
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types, strict=True)), place], names)
+                size += len(ids)
+                if size >= FLUSHED:
+                    yield flush(out, batch.schema[0].type)
+                    out, size = [[] for _ in names[:-1]], 0
+            yield flush(out, batch.schema[0].type)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids binary, place struct<part:int,rank:bigint>")
@@ -217,10 +222,11 @@ def pack(pieces: DataFrame, capacity: int = 2048, place: str | None = None) -> D
 
     Pieces of one length are interchangeable, so each needs only its rank among them: its rank inside its
     partition, numbered as the pieces are written, and how many the partitions before have.  Beside that
-    one write no piece is moved; Python workers see lengths and ranks, not the other columns.  The driver
-    sees one count per length.  The partitions' bases (a row each) are broadcast up to SMALL_BASES of
-    them, and joined by an exchange beyond."""
-    def number(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    one write no piece is moved.  The driver sees one count per length.  The partitions' counts and the
+    plan's blocks of places are broadcast up to SMALL_BASES of them, and joined by an exchange beyond."""
+    import pandas as pd
+
+    def number(batches):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -228,6 +234,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, place: str | None = None) -> D
             rank = ranks_of(lengths.to_numpy(), seen)
             yield pd.DataFrame({"part": np.full(len(rank), part, np.int32), "rank": rank})
 
+    number.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     place_name, base_name, part_name = fresh_names(pieces, "place", "bases", "part")
     ship(pieces.sparkSession)
     kept = pieces.withColumn(place_name, F.pandas_udf(number, "part int, rank long")("length")) if place is None else pieces.withColumnRenamed(place, place_name)
@@ -235,29 +242,19 @@ def pack(pieces: DataFrame, capacity: int = 2048, place: str | None = None) -> D
     counts = kept.groupBy(F.col(f"{place_name}.part").alias("part"), "length").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "lengths")
     runs = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    table = slots(runs)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     bases = bases.groupBy(F.col("part").alias(part_name)).agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias(base_name))
     few = counts.select("part", "length").limit(SMALL_BASES + 1).count() <= SMALL_BASES
     based = kept.join(F.broadcast(bases) if few else bases, F.col(f"{place_name}.part") == F.col(part_name))
 
-    def seat(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-        release()
-        lengths, ranks = lengths.to_numpy(), ranks.to_numpy()
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for length in np.unique(lengths):
-            own = lengths == length
-            t, r = table[int(length)], ranks[own]
-            block = np.searchsorted(t["rank"], r, side="right") - 1
-            inner = r - t["rank"][block]
-            sequence[own] = t["base"][block] + inner // t["copies"][block]
-            offset[own] = t["offset"][block] + inner % t["copies"][block] * length
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
-
-    placed = F.pandas_udf(seat, "sequence_id long, offset long")
-    ranked = based.withColumn(place_name, placed(F.col("length"), F.col(base_name)[F.col("length")] + F.col(f"{place_name}.rank")))
-    return ranked.select(*[F.col(f"`{c}`") for c in pieces.columns if c != place], F.col(f"{place_name}.sequence_id").alias("sequence_id"), F.col(f"{place_name}.offset").alias("offset"))
+    at_name, seat_name, rank = *fresh_names(based, "at", "seat"), F.col(base_name)[F.col("length")] + F.col(f"{place_name}.rank")
+    seats = pieces.sparkSession.createDataFrame(slots(runs), f"{at_name} long, `{seat_name}` struct<first:long,n:long,base:long,copies:long,offset:long>")
+    seated = based.withColumn(base_name, rank).join(F.broadcast(seats) if seats.count() <= SMALL_BASES else seats, (F.col("length") == F.col(at_name)) & (F.col(base_name) >= F.col(f"{seat_name}.first")) & (F.col(base_name) < F.col(f"{seat_name}.first") + F.col(f"{seat_name}.n")))
+    inner = F.col(base_name) - F.col(f"{seat_name}.first")
+    sequence = F.col(f"{seat_name}.base") + F.expr(f"({base_name} - {seat_name}.first) div {seat_name}.copies")
+    offset = F.col(f"{seat_name}.offset") + inner % F.col(f"{seat_name}.copies") * F.col("length")
+    return seated.select(*[F.col(f"`{c}`") for c in pieces.columns if c != place], sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
