@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import imputation, names
 from ..operators import facts, pricing, quality, rankings, reports
-from .adapter import TOKENS, USAGE_SQL, usage
+from . import price_queries, report_queries  # noqa: F401 - they register their queries
+from .adapter import TOKENS
+from .registry import QUERIES, SQL, over, query
 
 TODAY = dt.date(2024, 1, 30)
 ZONE = "Asia/Shanghai"
@@ -19,27 +21,6 @@ ALL = f"{SUMS}, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(message_count) A
 COST = "CAST(sum(cost_micros) AS BIGINT) / 1e6 AS cost"
 TURNS = "CAST(sum(CAST(is_turn_start AS INT)) AS BIGINT) AS turn_count"
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, with_usage: bool = True):
-    def add(f):
-        _QUERIES[name] = f
-        if sql is not None:
-            text = sql.strip()
-            if with_usage:
-                text = f"WITH {USAGE_SQL}, {text[5:]}" if text.upper().startswith("WITH ") else f"WITH {USAGE_SQL} {text}"
-            _SQL[name] = text
-        return f
-
-    return add
-
-
-def over(f: Callable[[DataFrame], DataFrame]):
-    return lambda spark, sf_dir: f(usage(spark, sf_dir))
-
-
 def _refold_sql(keys: list[str], where: str = "") -> str:
     k = ", ".join(keys)
     on = " AND ".join(f"g.{c} IS NOT DISTINCT FROM x.{c}" for c in keys)
@@ -253,8 +234,8 @@ def _tiers(u: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
