@@ -1,7 +1,7 @@
 """Pre-aggregated facts (totals, models, agents, days, hours, sessions) and their regrouping.
 
 Measures are sums of integers, so facts add up to the same totals whichever way they are folded; distinct
-counts are exact.  Token sums are decimal(38,0), wide enough for unsigned 64-bit totals."""
+counts are exact.  Sums are made in decimal(38,0) and given as bigint; one beyond it is an error, never wrong."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -40,10 +40,16 @@ def refold(fine: DataFrame, grouping: str, clients: list[str] | None = None) ->
     keys = GROUPINGS[grouping]
     if clients is not None:
         fine = fine.where(F.col("client").isin(clients))
+    label = [F.coalesce(F.regexp_extract("workspace_key", "[^/]+$", 0), F.lit(UNKNOWN_WORKSPACE)).alias("workspace_label")] if "workspace_key" in keys else []
+    if "client" in keys:  # a group has one client: one regrouping does, and one provider if that is a key too
+        by_session = fine.groupBy(*keys, "session_id").agg(*sums("tokens", "cost_micros", "message_count"), *([] if "provider_id" in keys else [F.collect_set("provider_id").alias("_p")]))
+        many = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))), ", ")
+        out = by_session.groupBy(*keys).agg(*sums("tokens", "cost_micros", "message_count"), F.count(F.lit(1)).alias("session_count"), *([] if "provider_id" in keys else [many.alias("providers")]))
+        named = [F.col("provider_id").alias("providers")] if "provider_id" in keys else ["providers"]
+        return out.select(*keys, *label, *TOKENS, "tokens", "message_count", dollars(), *named, F.col("client").alias("clients"), "session_count")
     inner = fine.groupBy(*dict.fromkeys([*keys, "client"])).agg(*sums("tokens", "cost_micros", "message_count"), F.min("first_seen").alias("first_seen"), F.collect_set("provider_id").alias("_p"), F.count_distinct("session_id").alias("_s"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("tokens")).alias("t"), "first_seen", F.col("client").alias("c"))))
     out = inner.groupBy(*keys).agg(*sums("tokens", "cost_micros", "message_count"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_p")))), ", ").alias("providers"), F.array_join(F.transform(ranked, lambda x: x["c"]), ", ").alias("clients"), F.sum("_s").cast("bigint").alias("session_count"))
-    label = [F.coalesce(F.regexp_extract("workspace_key", "[^/]+$", 0), F.lit(UNKNOWN_WORKSPACE)).alias("workspace_label")] if "workspace_key" in keys else []
     return out.select(*keys, *label, *TOKENS, "tokens", "message_count", dollars(), "providers", "clients", "session_count")
 
 

@@ -25,9 +25,9 @@ def reject_reason(one_hour: str | None = None) -> Column:
     return out
 
 
-def gate(usage: DataFrame) -> DataFrame:
+def gate(usage: DataFrame, one_hour: str | None = None) -> DataFrame:
     """usage with `reason` and `accepted`: neither rejected nor without tokens."""
-    marked = usage.withColumn("reason", reject_reason())
+    marked = usage.withColumn("reason", reject_reason(one_hour))
     return marked.withColumn("accepted", F.col("reason").isNull() & (F.greatest(*[F.col(c) for c in TOKENS]) > 0))
 
 
@@ -49,6 +49,27 @@ def max_merge(usage: DataFrame, key: str = "dedup_key") -> DataFrame:
     return made.select("client", key, "input_seq", "model_id", "session_id", *TOKENS, F.when(F.col("_n") == 1, F.col("_p")).alias("billing_provider"), (F.col("_n") > 1).alias("billing_conflicted"))
 
 
+def health(gated: DataFrame, *by: str) -> DataFrame:
+    """Per group and issue its records: a reason to reject, without-tokens, or accepted."""
+    issue = F.coalesce("reason", F.when(F.col("accepted"), "accepted").otherwise("without-tokens"))
+    return gated.groupBy(*by, issue.alias("issue")).agg(F.count(F.lit(1)).alias("records"))
+
+
+def merged(usage: DataFrame, split: str, key: str = "dedup_key") -> DataFrame:
+    """Copies of a message as one record: identity and time of the first, each bucket's maximum, and whether billing
+    conflicts.  Input that a copy splits by cache (split) counts before any that none does.  Records without key
+    stay as they are, and skip the exchange."""
+    keyed = usage.where(F.col(key).isNotNull()).groupBy("client", key).agg(
+        F.min("input_seq").alias("input_seq"), *[F.min_by(c, "input_seq").alias(c) for c in ("model_id", "session_id", "ts")],
+        F.coalesce(F.max(F.when(F.col(split), F.col("tok_input"))), F.max("tok_input")).alias("tok_input"), *[F.max(c).alias(c) for c in TOKENS if c != "tok_input"],
+        F.min("provider_id").alias("_p"), F.max("provider_id").alias("_q"))
+    columns = ["client", key, "input_seq", "model_id", "session_id", "ts", *TOKENS]
+    conflict = F.coalesce(F.col("_p") != F.col("_q"), F.lit(False))
+    whole = keyed.select(*columns, F.when(~conflict, F.col("_p")).alias("billing_provider"), conflict.alias("billing_conflicted"))
+    free = usage.where(F.col(key).isNull()).select(*columns, F.col("provider_id").alias("billing_provider"), F.lit(False).alias("billing_conflicted"))
+    return whole.unionByName(free)
+
+
 def snapshot_residual(usage: DataFrame, snapshots: DataFrame) -> DataFrame:
     """What snapshots (session_id, model_id, tokens) have beyond the records: maximum minus sum, not below 0."""
     most = snapshots.groupBy("session_id", "model_id").agg(*[F.max(c).alias(c) for c in TOKENS])

@@ -16,6 +16,11 @@ def best(df: DataFrame, key: str, by: list[str] = (), order: list[Column] | None
     return df.groupBy(*by).agg(F.min_by(F.struct(*[F.col(c) for c in df.columns]), least).alias("_r")).select("_r.*")
 
 
+def used(rows: DataFrame) -> DataFrame:
+    """Rows with tokens: only those are ranked."""
+    return rows.where("tokens > 0")
+
+
 def grouped(usage: DataFrame, *keys: str) -> DataFrame:
     return usage.groupBy(*keys).agg(total("tokens"), total("cost_micros"))
 
@@ -74,7 +79,9 @@ def top_and_others(usage: DataFrame, key: str, by: str, k: int = 3) -> DataFrame
 
 def cache_rate(read: Column, all_: Column) -> Column:
     """Tenths of a percent, rounded half up, at most 1000, in exact integers."""
-    return F.when(all_ <= 0, F.lit(0)).otherwise(F.least(F.floor((read * 1000 + F.floor(all_ / 2)) / all_), F.lit(1000))).cast("bigint")
+    wide = lambda c: c.cast("decimal(30,0)")
+    whole = F.when(all_ > 0, wide(all_))
+    return F.coalesce(F.least(F.call_function("div", wide(read) * 1000 + F.call_function("div", whole, F.lit(2)), whole), F.lit(1000)), F.lit(0)).cast("bigint")
 
 
 def overview(usage: DataFrame) -> DataFrame:

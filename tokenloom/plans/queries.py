@@ -77,9 +77,9 @@ def _months(u: DataFrame) -> DataFrame:
 
 
 query("period_top_client", "WITH " + _top("start_date, client", "client", "start_date").removeprefix("WITH ").replace("FROM usage", "FROM (SELECT *, CAST(date_trunc('month', local_date) AS DATE) AS start_date FROM usage)"))(
-    over(lambda u: rankings.best(rankings.grouped(_months(u), "start_date", "client"), "client", ["start_date"])))
+    over(lambda u: rankings.best(rankings.used(rankings.grouped(_months(u), "start_date", "client")), "client", ["start_date"])))
 query("period_top_model", "WITH " + _top("start_date, model_id", "model_id", "start_date").removeprefix("WITH ").replace("FROM usage", "FROM (SELECT *, CAST(date_trunc('month', local_date) AS DATE) AS start_date FROM usage)"))(
-    over(lambda u: rankings.best(rankings.grouped(_months(u), "start_date", "model_id"), "model_id", ["start_date"])))
+    over(lambda u: rankings.best(rankings.used(rankings.grouped(_months(u), "start_date", "model_id")), "model_id", ["start_date"])))
 query("peak_hour", _top("hour", "hour").replace("FROM usage", "FROM (SELECT *, CAST(hour(local_hour) AS INT) AS hour FROM usage)"))(
     over(lambda u: rankings.best(rankings.grouped(u.withColumn("hour", F.hour("local_hour")), "hour"), "hour")))
 query("weekday_profile", f"SELECT CAST(isodow(local_date) - 1 AS INT) AS weekday, {_G}, count(DISTINCT local_date) AS active_days FROM usage GROUP BY 1")(
@@ -125,9 +125,9 @@ _MAXES = ", ".join(f"max({c}) AS {c}" for c in TOKENS)
 query("dedup_max_merge", f"""SELECT client, dedup_key, min(input_seq) AS input_seq, arg_min(model_id, input_seq) AS model_id, arg_min(session_id, input_seq) AS session_id, {_MAXES},
   CASE WHEN count(DISTINCT provider_id) = 1 THEN min(provider_id) END AS billing_provider, count(DISTINCT provider_id) > 1 AS billing_conflicted FROM usage WHERE dedup_key IS NOT NULL GROUP BY client, dedup_key""")(over(quality.max_merge))
 _RES = ", ".join(f"CAST(greatest(m.{c} * 3 - coalesce(u.{c}, 0), 0) AS BIGINT) AS {c}" for c in TOKENS)
-query("snapshot_residual", f"""WITH m AS (SELECT session_id, model_id, {_MAXES} FROM usage WHERE input_seq % 7 = 0 GROUP BY ALL), u AS (SELECT session_id, model_id, {SUMS} FROM usage GROUP BY ALL),
+query("snapshot_residual", f"""WITH m AS (SELECT session_id, model_id, {_MAXES} FROM usage GROUP BY ALL), u AS (SELECT session_id, model_id, {SUMS} FROM usage GROUP BY ALL),
   r AS (SELECT m.session_id, m.model_id, {_RES} FROM m LEFT JOIN u ON u.session_id = m.session_id AND u.model_id = m.model_id) SELECT * FROM r WHERE greatest({', '.join(TOKENS)}) > 0""")(
-    over(lambda u: quality.snapshot_residual(u, u.where("input_seq % 7 = 0").select("session_id", "model_id", *[(F.col(c) * 3).alias(c) for c in TOKENS]))))
+    over(lambda u: quality.snapshot_residual(u, u.select("session_id", "model_id", *[(F.col(c) * 3).alias(c) for c in TOKENS]))))
 query("ownership_anti_join", "SELECT input_seq, session_id FROM usage WHERE client <> 'click' AND session_id NOT IN (SELECT session_id FROM usage WHERE client = 'click')")(
     over(lambda u: quality.owned_elsewhere(u.where("client <> 'click'").select("input_seq", "session_id"), u.where("client = 'click'"))))
 query("cumulative_delta", """WITH c AS (SELECT input_seq, session_id, tok_cache_read AS c FROM usage) SELECT input_seq, CAST(greatest(c - coalesce(max(c) OVER (PARTITION BY session_id ORDER BY input_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS BIGINT) AS delta FROM c""")(
@@ -180,8 +180,8 @@ def price_table(spark: SparkSession) -> DataFrame:
 
 
 def priced(u: DataFrame) -> DataFrame:
-    picked = pricing.pick_prices(u, price_table(u.sparkSession)).select("model_id", "provider_id", "price.*")
-    return u.join(picked.drop("model"), ["model_id", "provider_id"], "left")
+    picked = pricing.pick_prices(u, price_table(u.sparkSession)).select(F.col("model_id").alias("_m"), F.col("provider_id").alias("_p"), "price.*").drop("model")
+    return u.join(picked, F.col("model_id").eqNullSafe(F.col("_m")) & F.col("provider_id").eqNullSafe(F.col("_p")), "left").drop("_m", "_p")
 
 
 query("price_lookup", f"WITH {_PICKED} SELECT w.model_id, w.provider_id, x.catalog, x.key FROM w LEFT JOIN x ON x.model_id = w.model_id AND x.provider_id = w.provider_id")(
