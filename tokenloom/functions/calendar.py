@@ -33,6 +33,19 @@ def preset(name: str, today: dt.date) -> tuple[dt.date, dt.date]:
     return starts[name], today
 
 
+def asked_range(today: dt.date, name: str | None = None, since: dt.date | None = None, until: dt.date | None = None, year: int | None = None) -> tuple[dt.date | None, dt.date | None]:
+    """The range that is asked for by a preset, a year, or a first and last date; only one of the three may be."""
+    if sum((name is not None, year is not None, since is not None or until is not None)) > 1:
+        raise ValueError("a preset, a year and dates exclude each other")
+    if name is not None:
+        return preset(name, today)
+    if year is not None:
+        return dt.date(year, 1, 1), dt.date(year, 12, 31)
+    if since and until and since > until:
+        raise ValueError("the range ends before it begins")
+    return since, until
+
+
 def wall_to_epoch(wall: dt.datetime, zone: str) -> int | None:
     """Epoch seconds of a wall time: the earlier at a fold, none in a gap."""
     aware = wall.replace(tzinfo=ZoneInfo(zone), fold=0)

@@ -76,12 +76,24 @@ def _droid() -> dict[str, Column]:
     }
 
 
+def _gemini() -> dict[str, Column]:
+    """The total tells whether input holds what was cached: it does if it is the sum without the cache."""
+    n = {c: F.greatest(_n(f"e.tokens.{c}"), F.lit(0)) for c in ("input", "output", "cached", "thoughts", "tool")}
+    inside = n["input"] + n["output"] + n["thoughts"] + n["tool"]
+    overlaps = F.coalesce((n["cached"] > 0) & (F.greatest(F.col("e.tokens.total"), F.lit(0)) == inside), F.lit(False))
+    return {
+        "model_id": F.col("e.model"), "provider_id": F.lit("google"), "session_id": F.trim("r.sessionId"), "timestamp_ms": decode_timestamp(F.col("e.timestamp")),
+        "tok_input": F.when(overlaps, n["input"] - F.least(n["cached"], n["input"])).otherwise(n["input"]) + n["tool"], "tok_output": n["output"], "tok_cache_read": n["cached"], "tok_cache_write": F.lit(0), "tok_reasoning": n["thoughts"], "dedup_key": F.lit(None),
+    }
+
+
 _BUCKET = "struct<tokens:bigint>"
 ARTIFACTS = {a.client: a for a in (
     Artifact("roocode", "ui_messages.json", "array<struct<type:string, say:string, text:string, ts:string, modelInfo:struct<providerId:string, modelId:string>>>", _roocode_entries, lambda: F.col("u").isNotNull(), _roocode),
     Artifact("mux", "session-usage.json", f"struct<byModel:map<string, struct<input:{_BUCKET}, cached:{_BUCKET}, cacheCreate:{_BUCKET}, output:{_BUCKET}, reasoning:{_BUCKET}>>, lastRequest:struct<timestamp:bigint>>", _mux_entries, lambda: F.col("u").isNotNull(), _mux),
     Artifact("cline", "*.messages.json", "struct<version:int, sessionId:string, messages:array<struct<role:string, ts:string, metrics:struct<inputTokens:bigint, outputTokens:bigint, cacheReadTokens:bigint, cacheWriteTokens:bigint>, modelInfo:struct<id:string, provider:string>>>>", lambda df: _each(df.where("r.version = 1"), "r.messages"), lambda: (F.col("e.role") == "assistant") & F.col("e.metrics").isNotNull(), _cline),
     Artifact("droid", "*.settings.json", "struct<model:string, providerLock:string, providerLockTimestamp:string, tokenUsage:struct<inputTokens:bigint, outputTokens:bigint, cacheCreationTokens:bigint, cacheReadTokens:bigint, thinkingTokens:bigint>>", lambda df: df.withColumn("input_seq", F.lit(0)), lambda: F.col("r.tokenUsage").isNotNull(), _droid),
+    Artifact("gemini", "*.json", "struct<sessionId:string, messages:array<struct<id:string, timestamp:string, model:string, tokens:struct<input:bigint, output:bigint, cached:bigint, thoughts:bigint, tool:bigint, total:bigint>>>>", lambda df: _each(df.where("input_path rlike '/tmp/[^/]+/chats/[^/]+$' and trim(r.sessionId) <> ''"), "r.messages"), lambda: F.col("e.tokens").isNotNull(), _gemini),
 )}
 
 

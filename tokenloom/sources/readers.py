@@ -43,7 +43,8 @@ def _claude() -> dict[str, Column]:
 def _qwen() -> dict[str, Column]:
     u = "r.usageMetadata."
     prompt, out, think, cached, whole = (_n(u + c) for c in ("promptTokenCount", "candidatesTokenCount", "thoughtsTokenCount", "cachedContentTokenCount", "totalTokenCount"))
-    inside = (whole == prompt + out) | ((whole == 0) & (out > 0))  # thoughts are part of the candidates
+    said = F.col(u + "totalTokenCount").isNotNull()
+    inside = said & ((whole == prompt + out) | ((whole == 0) & (out > 0)))  # thoughts are part of the candidates; an absent total says nothing
     r = F.when(inside, F.least(think, out)).otherwise(think)
     return {"model_id": F.col("r.model"), "provider_id": F.lit(None), "session_id": F.col("r.sessionId"), "timestamp_ms": decode_timestamp(F.col("r.timestamp")), "tok_input": F.when(cached <= prompt, prompt - cached).otherwise(prompt), "tok_output": F.when(inside, out - r).otherwise(out), "tok_cache_read": cached, "tok_cache_write": F.lit(0), "tok_reasoning": r, "dedup_key": F.lit(None)}
 
@@ -81,9 +82,14 @@ DATABASES = {
       min(s.reasoning_tokens, s.output_tokens), NULL FROM sessions s WHERE NOT EXISTS (SELECT 1 FROM session_model_usage m WHERE m.session_id = s.id)""",
 }
 
+#: Of a hermes database without usage by model.
+HERMES_SESSIONS = DATABASES["hermes"].split("UNION ALL ")[1].split(" WHERE NOT EXISTS")[0]
+#: Clients that keep a database, of those that read_databases() knows.
+EMBEDDED = ("goose", "hermes", "kilo", "opencode", "zcode", "zed")
+
 
 def read_lines(spark: SparkSession, client: str, root: str) -> DataFrame:
-    """Records of a JSON-lines client under root; input_seq is the line's place among the file's records."""
+    """Records of a JSON-lines client under root; input_seq grows along a file's lines, and isn't dense."""
     source = SOURCES[client]
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", source.glob).text(root)
     rows = text.select(F.col("_metadata.file_path").alias("input_path"), F.monotonically_increasing_id().alias("input_seq"), F.from_json("value", source.schema).alias("r"))
@@ -96,9 +102,10 @@ def read_databases(spark: SparkSession, client: str, root: str, glob: str = "*.d
     """Records of a client's SQLite files under root, one file per row of a task; opencode's with SESSION's columns."""
     import pyarrow as pa
 
-    from . import opencode
+    from . import embedded, opencode
 
-    rows_of = opencode.records if client == "opencode" else lambda db, sql=DATABASES.get(client): db.execute(sql).fetchall()
+    sql = DATABASES.get(client)
+    rows_of = {"opencode": opencode.records, "zcode": embedded.zcode, "zed": embedded.zed, "hermes": lambda db: embedded.hermes(db, DATABASES["hermes"], HERMES_SESSIONS)}.get(client, lambda db: db.execute(sql).fetchall())
     more = list(SESSION) if client == "opencode" else []
     names = ["model_id", "provider_id", "session_id", "timestamp_ms", *TOKENS, "dedup_key", *more]
     types = {n: "string" for n in ("model_id", "provider_id", "session_id", "dedup_key")} | SESSION
