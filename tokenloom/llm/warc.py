@@ -208,19 +208,23 @@ MAIN, BESIDE = ("response", "revisit"), ("request", "metadata")
 PARTS = {"response": ["record_id", "type", "refers_to", "uri", "date", "digest", "http_head", "n_bytes", "payload_sha256", "payload"], "request": ["record_id", "uri", "http_head"], "metadata": ["record_id", "fields"]}
 
 
-def capture_ids(found: DataFrame) -> DataFrame:
-    """record_id, capture_id of the records that hang together by concurrent-to identifiers, whoever names whom.
-
-    Where each request and metadata record names one response or revisit and these name none, that one is the
-    capture.  Else the records' links are followed over any number of steps and in both directions, and the
-    capture is the least id among them.  A name that no record has still ties those that use it."""
-    links = found.select("record_id", "type", F.explode("concurrent_to").alias("named"))
-    main = found.where(F.col("type").isin(*MAIN)).select(F.col("record_id").alias("named"), F.lit(True).alias("is_main"))
-    plain = links.where(F.col("type").isin(*BESIDE)).join(main, "named", "left_semi")
-    counts = links.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("d")).first()
-    if counts["n"] == counts["d"] == plain.count():
-        return plain.select("record_id", F.col("named").alias("capture_id"))
-    return components(links.select(F.col("record_id").alias("h"), F.col("named").alias("root"))).select(F.col("h").alias("record_id"), F.col("root").alias("capture_id"))
+def with_capture(found: DataFrame) -> DataFrame:
+    """found with capture_id, equal for records that hang together by concurrent-to identifiers, whoever names whom.
+
+    Where each request and metadata record names one response or revisit at most, and no other record names any,
+    the capture is the one that is named.  Else the records' links are followed over any number of steps and in
+    both directions, and the capture is the least id among them.  A name that no record has still ties those
+    that use it."""
+    beside, named = F.col("type").isin(*BESIDE), F.get("concurrent_to", 0)
+    odd = found.where(F.size("concurrent_to") > F.when(beside, 1).otherwise(0)).limit(1).count()
+    if not odd:
+        main = found.where(F.col("type").isin(*MAIN)).select(F.col("record_id").alias("named"))
+        odd = found.where(F.size("concurrent_to") > 0).select(named.alias("named")).join(main, "named", "left_anti").limit(1).count()
+    if not odd:
+        return found.withColumn("capture_id", F.coalesce(named, "record_id"))
+    links = found.select(F.col("record_id").alias("h"), F.explode("concurrent_to").alias("root"))
+    ids = components(links).select(F.col("h").alias("record_id"), F.col("root").alias("capture_id"))
+    return found.join(ids, "record_id", "left").withColumn("capture_id", F.coalesce("capture_id", "record_id"))
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -232,13 +236,14 @@ def assemble(found: DataFrame) -> DataFrame:
     Records that neither name nor are named by any, but for an archive's own warcinfo, are captures alone.
     Rows that repeat a record id are one record.  found is read more than once: write it first."""
     mine = found.where("type <> 'warcinfo' or size(concurrent_to) > 0").dropDuplicates(["record_id"])
-    tied = mine.join(capture_ids(mine), "record_id", "left").withColumn("capture_id", F.coalesce("capture_id", "record_id"))
+    tied = with_capture(mine)
+    more = F.struct("record_id", "type", "uri", "http_head", "fields")
     parts = {}
-    for part, cols in PARTS.items():
+    for part, cols in PARTS.items():  # all have the capture as key, so that the joins move nothing again
         kinds = MAIN if part == "response" else (part,)
-        records_ = tied.where(F.col("type").isin(*kinds)).groupBy("capture_id").agg(F.min_by(F.struct(*cols), "record_id").alias(part), F.array_sort(F.collect_list(F.struct("record_id", "type", "uri", "http_head", "fields"))).alias("all"))
-        parts[part] = records_.select("capture_id", part, F.expr("slice(all, 2, size(all))").alias(f"more_{part}"))
-    rest = tied.where(~F.col("type").isin(*MAIN, *BESIDE)).groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("record_id", "type", "uri", "http_head", "fields"))).alias("more"))
+        listed = tied.where(F.col("type").isin(*kinds)).groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("record_id", F.struct(*cols).alias("own"), more.alias("more")))).alias("all"))
+        parts[part] = listed.select("capture_id", F.col("all")[0]["own"].alias(part), F.expr("transform(slice(all, 2, size(all)), x -> x.more)").alias(f"more_{part}"))
+    rest = tied.where(~F.col("type").isin(*MAIN, *BESIDE)).groupBy("capture_id").agg(F.array_sort(F.collect_list(more)).alias("more"))
     whole = parts["response"].join(parts["request"], "capture_id", "full").join(parts["metadata"], "capture_id", "full").join(rest, "capture_id", "full")
     none = F.array().cast("array<struct<record_id:string,type:string,uri:string,http_head:string,fields:string>>")
     return whole.select("capture_id", *PARTS, F.concat(*[F.coalesce(c, none) for c in ("more_response", "more_request", "more_metadata", "more")]).alias("others"))
