@@ -12,7 +12,7 @@ import numpy as np
 BLANK = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LONE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces that a worker remembers: those of late, and as many from before.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Characters of texts whose new pieces are encoded together.
 GROUPED = 1 << 20
 #: Stands between pieces where a tokenizer gives it one id.
