@@ -30,7 +30,7 @@ class TextEncoder:
     They are the library's for add_special_tokens=False: the string of a special token in a text is that
     token.  A text that may have one is encoded whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -39,6 +39,7 @@ class TextEncoder:
             raise ValueError("ids over 65535 don't fit")
         #: How the strings of added tokens begin, whatever their case; the rest of a text is cut into pieces.
         self.specials = sorted({t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         #: A mark behind a letter is a match of its own for every pattern in use, so a word's ids go before it.
@@ -106,7 +107,7 @@ class TextEncoder:
         gaps = [[i for i, ids in enumerate(got) if ids is None] if None in got else () for got in found]
         new = {own[i] for own, gap in zip(parts, gaps, strict=True) for i in gap}
         if new:
-            if len(known) + len(new) > REMEMBERED:
+            if len(known) + len(new) > self.remembered:
                 self.before, known = known, {}
                 self.known = known
             known.update({p: self.before[p] for p in new if p in self.before})
@@ -153,10 +154,10 @@ def release(but: dict | None = None) -> None:
             x.clear()
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> TextEncoder:
     release(_encoders)
     if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
+        _encoders[path] = TextEncoder(path, remembered)
     return _encoders[path]
 
 

@@ -17,6 +17,8 @@ MAGIC = b"WVMX0003"
 BLOCK = 512
 #: Bytes of a plane that are compressed together, and so read together.
 CHUNK = 1 << 16
+#: Pieces of text that a worker remembers here, where it holds little else.
+REMEMBERED = 800_000
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
@@ -236,7 +238,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode_all
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer, REMEMBERED).encode_all
         end, seq, held, names, lengths, total = np.array([end_id], "<u2").tobytes(), 0, [], [], [], 0
 
         def flush():
