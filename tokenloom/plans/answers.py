@@ -31,13 +31,13 @@ def usage_from(spark: SparkSession, roots: dict[str, str], settings: Settings |
     of all catalogs) give a cost, or none.  An unpriced id costs nothing and is never complete."""
     settings = settings or Settings()
     wanted = selected_clients(settings.clients, sorted(roots))
-    records = arrival(readers.read_all(spark, {c: roots[c] for c in wanted}))
+    records = arrival(readers.read_all(spark, {c: roots[c] for c in wanted}, settings.zone))
     made = records.withColumnRenamed("model_id", "raw_model_id").withColumn("billing_provider", names.billing_provider(F.col("provider_id")))
     made = names.canonicalize(made, "raw_model_id", list(rules)) if rules else made.withColumn("model_id", F.col("raw_model_id"))
     spelled = made.select("provider_id", "model_id").distinct().select(F.col("provider_id").alias("_p"), F.col("model_id").alias("_m"), providers.finalized_provider(F.col("provider_id"), F.coalesce("model_id", F.lit(""))).alias("grouped"))
     made = made.join(spelled, F.col("provider_id").eqNullSafe(F.col("_p")) & F.col("model_id").eqNullSafe(F.col("_m")), "left").withColumn("provider_id", F.col("grouped")).drop("_p", "_m", "grouped", "raw_model_id")
     time = F.timestamp_millis("timestamp_ms").cast("timestamp_ntz")
-    made = made.withColumns({"ts": time, "machine": reports.machine_label(F.col("input_path"), settings.machine_labels, settings.local_label), "service_tier": F.lit(None).cast("string"), "is_aggregate": F.lit(False), "tok_write_1h": F.lit(0).cast("bigint"), "agent": F.lit(None).cast("string"), "is_turn_start": F.lit(False)})
+    made = made.withColumns({"ts": time, "machine": reports.machine_label(F.col("input_path"), settings.machine_labels, settings.local_label), "service_tier": F.lit(None).cast("string"), "is_aggregate": F.lit(False), "tok_write_1h": F.lit(0).cast("bigint"), "is_turn_start": F.coalesce("is_turn_start", F.lit(False))})
     made = calendar.localize(made, "ts", settings.zone)
     gated = quality.gate(made)
     kept = quality.first_wins(gated.where("accepted").drop("reason", "accepted"))

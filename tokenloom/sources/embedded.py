@@ -8,6 +8,9 @@ import json
 import sqlite3
 from datetime import datetime, timezone
 
+from ..functions.imputation import SHARES, allocate_batch
+from .opencode import workspace_key
+
 #: The only owner whose threads zed itself bills.
 HOSTED = "zed.dev"
 
@@ -84,3 +87,50 @@ def zed(db: sqlite3.Connection) -> list[tuple]:
         if sum(total):
             out.append(((model.get("model") or "").strip(), HOSTED, key, _millis(created, updated, thread.get("updated_at")), *total, 0, f"zed:{key}"))
     return out
+
+
+def _warp_time(text: object) -> int | None:
+    """Epoch milliseconds; a time without a zone is UTC."""
+    try:
+        when = datetime.fromisoformat(text.strip())
+    except (AttributeError, ValueError):
+        return None
+    made = (when if when.tzinfo else when.replace(tzinfo=timezone.utc)).timestamp()
+    return int(made * 1000 + 0.0005) if made > 0 else None
+
+
+def _warp_total(item: dict) -> int:
+    """Of the three counters that are there; an exception if one is no count."""
+    found = [item[c] for c in ("warp_tokens", "byok_tokens", "custom_endpoint_tokens") if item.get(c) is not None]
+    if any(type(n) is not int or n < 0 for n in found):
+        raise ValueError("not a count")
+    return sum(found)
+
+
+def warp(db: sqlite3.Connection) -> list[tuple]:
+    """A row per conversation and model, with the conversation's workspace after the dedup key.  Only totals are kept:
+    all of a database are split at once, so that rows and buckets both add up."""
+    places: dict[str, str] = {}
+    if _columns(db, "ai_queries"):
+        for talk, folder in db.execute("SELECT conversation_id, working_directory FROM ai_queries WHERE trim(conversation_id) <> '' ORDER BY conversation_id"):
+            if talk not in places and isinstance(folder, str) and (key := workspace_key(folder)):
+                places[talk] = key
+    found, totals = [], []
+    for talk, text, changed in db.execute("SELECT conversation_id, conversation_data, last_modified_at FROM agent_conversations WHERE trim(conversation_data) <> '' ORDER BY id"):
+        talk, when = (talk or "").strip(), _warp_time(changed)
+        try:
+            usage = (json.loads(text).get("conversation_usage_metadata") or {}).get("token_usage") or []
+        except (AttributeError, TypeError, ValueError):
+            continue
+        for i, item in enumerate(usage if talk and isinstance(usage, list) else []):
+            try:
+                total = _warp_total(item)
+            except (AttributeError, ValueError):
+                continue
+            model = item.get("model_id")
+            if total and (model is None or isinstance(model, str)):
+                model = (model or "").strip() or None  # a missing one, or a missing time, is for the gate to name
+                found.append((model, None, talk, when, f"warp:{talk}:{i}:{model}", places.get(talk)))
+                totals.append(total if model and when else 0)
+    split = allocate_batch(totals, SHARES)
+    return [(*row[:4], *parts, row[4], row[5]) for row, parts in zip(found, split, strict=True)]

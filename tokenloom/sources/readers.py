@@ -18,8 +18,10 @@ from ..functions.calendar import decode_timestamp
 from ..plans.adapter import TOKENS
 
 COLUMNS = ["client", "model_id", "provider_id", "session_id", "timestamp_ms", *TOKENS, "message_count", "dedup_key", "input_path", "input_seq"]
-#: What only opencode's sessions say yet; null for others.
-SESSION = {"workspace_key": "string", "is_main_session": "boolean"}
+#: What some clients say of a record's session and turn; null for others.
+SESSION = {"workspace_key": "string", "is_main_session": "boolean", "agent": "string", "is_turn_start": "boolean"}
+#: Those of them that a database's rows may have after the dedup key.
+EMBEDDED_SESSION = {"opencode": ["workspace_key", "is_main_session"], "warp": ["workspace_key"]}
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,7 @@ DATABASES = {
 #: Of a hermes database without usage by model.
 HERMES_SESSIONS = DATABASES["hermes"].split("UNION ALL ")[1].split(" WHERE NOT EXISTS")[0]
 #: Clients that keep a database, of those that read_databases() knows.
-EMBEDDED = ("goose", "hermes", "kilo", "opencode", "zcode", "zed")
+EMBEDDED = ("goose", "hermes", "kilo", "opencode", "warp", "zcode", "zed")
 
 
 def read_lines(spark: SparkSession, client: str, root: str) -> DataFrame:
@@ -99,14 +101,15 @@ def read_lines(spark: SparkSession, client: str, root: str) -> DataFrame:
 
 
 def read_databases(spark: SparkSession, client: str, root: str, glob: str = "*.db") -> DataFrame:
-    """Records of a client's SQLite files under root, one file per row of a task; opencode's with SESSION's columns."""
+    """Records of a client's SQLite files under root, one file per row of a task, with those of
+    SESSION's columns that the client has."""
     import pyarrow as pa
 
     from . import embedded, opencode
 
     sql = DATABASES.get(client)
-    rows_of = {"opencode": opencode.records, "zcode": embedded.zcode, "zed": embedded.zed, "hermes": lambda db: embedded.hermes(db, DATABASES["hermes"], HERMES_SESSIONS)}.get(client, lambda db: db.execute(sql).fetchall())
-    more = list(SESSION) if client == "opencode" else []
+    rows_of = {"opencode": opencode.records, "zcode": embedded.zcode, "zed": embedded.zed, "warp": embedded.warp, "hermes": lambda db: embedded.hermes(db, DATABASES["hermes"], HERMES_SESSIONS)}.get(client, lambda db: db.execute(sql).fetchall())
+    more = EMBEDDED_SESSION.get(client, [])
     names = ["model_id", "provider_id", "session_id", "timestamp_ms", *TOKENS, "dedup_key", *more]
     types = {n: "string" for n in ("model_id", "provider_id", "session_id", "dedup_key")} | SESSION
 
@@ -129,12 +132,21 @@ def read_databases(spark: SparkSession, client: str, root: str, glob: str = "*.d
     return files.mapInArrow(run, f"{kinds}, input_path string, input_seq bigint").withColumns({"client": F.lit(client), "message_count": F.lit(1)}).select(*COLUMNS, *more)
 
 
-def read_all(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """All clients' records, in one frame with SESSION's columns, in order of client id."""
+def read_all(spark: SparkSession, roots: dict[str, str], zone: str = "UTC") -> DataFrame:
+    """All clients' records, in one frame with SESSION's columns, in order of client id.  Times that name no zone
+    are of zone."""
     from .artifacts import ARTIFACTS, read_artifacts, read_openclaw  # which use this module
     from .cumulative import read_codex
+    from .sessions import read_commandcode, read_dsh, read_junie
+    from .threads import THREADS, read_threads
 
     def read(client: str, root: str) -> DataFrame:
+        if client == "junie":
+            return read_junie(spark, root, zone)
+        if client in ("commandcode", "dsh"):
+            return (read_commandcode if client == "commandcode" else read_dsh)(spark, root)
+        if client in THREADS:
+            return read_threads(spark, client, root)
         if client == "openclaw":
             return read_openclaw(spark, root)
         if client == "codex":
