@@ -320,6 +320,18 @@ def test_main_text_weighs_regions_and_densities():
     assert htmltext.main_text(f"<article><p>{middle}</article><div id=comments><p>Yes, I like it<p>{middle}<p>No</div>") == middle
 
 
+def test_main_text_leaves_out_long_comments_adverts_sidebars_and_notices():
+    story = ("This is the text of the story and it is long enough to be good in every way. " * 3).strip()
+    said = ("I think that this is one of the best things that I have ever read, and I would like to thank you for it. " * 3).strip()
+    outs = ["<div id=comments><div class=comment><p>{}</div></div>", "<section class='widget comments-area'><ol class=comment-list><li><article class='comment-body'><p>{}</article></ol></section>", "<ul class=comments><li>{}</ul>", "<div itemprop=comment><p>{}</div>",
+            "<div class=ad><p>{}</div>", "<div class='box Sidebar'><div><p>{}</div></div>", "<div class='cookie-notice'><p>{}</div>", "<section role=complementary><p>{}</section>", "<div class=notice>{}</div>"]
+    for out in outs:
+        for page in (f"<article><p>{story}</article>{out}", f"<article><p>{story}{out}</article>", f"{out}<div><p>{story}</div>", f"<div class=content>{out}<p>{story}</div>"):
+            assert htmltext.main_text(page.format(said)) == story, page
+    for own in ("<body class='comments-open'><p>{}", "<article class='post has-comments'><p>{}</article>", "<div class='layout sidebar'><main><p>{}</main></div>", "<div class=notice><article><p>{}</article></div>", "<article class=notice><p>{}</article>", "<section id=discussion><p>{}</section>", "<article><p>Code: <span class=comment>{}</span></article>"):
+        assert htmltext.main_text(own.format(story)).endswith(story), own
+
+
 def test_main_text_of_all_pages(spark, sf_dir):
     """Against the standard library's parser: the blocks of the article, and no more."""
     from html.parser import HTMLParser

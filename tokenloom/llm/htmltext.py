@@ -2,8 +2,9 @@
 
 Pass one weighs each block by link density, length and the density of stop words: a block is text, is none, or
 is undecided.  What the page itself marks as foreign is taken out before: navigation, footers, asides, menus,
-dialogs, forms and what is hidden.  Other regions are evidence: in one that says that it is the article no
-block is refused but for its links; in one whose name is foreign (advert, comments, sidebar ...) a block must
+dialogs, forms, what is hidden, and regions whose whole name says reader comments, advert, sidebar or notice
+(comments, ad; not has-sidebar).  Other regions are evidence: in one that says that it is the article no
+block is refused but for its links; in one whose name is foreign (promo, has-sidebar ...) a block must
 be long to be text; in an article within a foreign region the densities decide alone, as where nothing is said.
 Pass two gives the undecided blocks the label of the nearest decided neighbours; where there is evidence, of
 those in the same region, and that of the evidence if there are none or, in a foreign region, if less than half
@@ -60,6 +61,12 @@ FOREIGN_NAME = re.compile(
     r"header|hidden|login|masthead|menu[^\W_]*|modal|nav[^\W_]*|newsletter|notice|notices|notification|overlay|pagination|pager|popup|promo[^\W_]*|recommend[^\W_]*|related|replies|reply|respond|search|share|sharing|"
     r"sidebar[^\W_]*|signup|skip|social|sponsor[^\W_]*|subscribe|tags?|teaser|toolbar|topbar|widget[^\W_]*|complementary|navigation|alert|responses|discussion)(?:$|[\s_-])", re.I)
 OWN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story|body|text)(?:$|[\s_-])", re.I)
+#: Whole names of regions of reader comments, and of adverts, sidebars and notices.
+COMMENTS = re.compile(r"(?:(?:reader|user|article|post|page)[-_]?)?comments?(?:[-_]?(?:list|area|section|threads?|container|wrapper|body|content|block|box|feed|item|text))?|disqus(?:[-_]thread)?", re.I)
+ASIDE = re.compile(r"ads?|adverts?|advertisements?|advertising|ad[-_](?:slot|unit|container|banner|box|wrapper|block)|banner[-_]ad|sponsored|side[-_]?bar|(?:site|cookie|privacy|gdpr|consent)[-_](?:notice|banner|bar|consent|popup|message)|notices?", re.I)
+ROLES = frozenset("navigation contentinfo complementary menu menubar dialog alertdialog search".split())
+#: Elements that such a name takes out whole; an article's own mark goes before ASIDE and ROLES.
+NAMED = frozenset("div section ol ul dl table td details blockquote".split())
 HEADING = re.compile(r"(?:entry|article|post|story)[-_]?(?:header|head|title)", re.I)
 NAMES = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
@@ -70,28 +77,39 @@ SHORT, LONG, STOP_LOW, STOP_HIGH, LINK_HIGH, LINK_MOST = 70, 200, 0.05, 0.12, 0.
 GOOD, BAD, UNSURE = 1, 0, -1
 #: The region of a form, whose blocks are left out.
 GONE = -2
+#: The region of an advert, a sidebar or a notice: its blocks are BAD, but an article in it is looked at.
+ASIDES = -3
 #: The first number of a foreign region.
 FOREIGN = 2
 
 
 def region_of(tag: str, attributes: str, outer: int | None, fresh: int) -> int | None:
-    """What a region says of its blocks: BAD (then all inside is), GOOD, None (nothing), or from FOREIGN on the
+    """What a region says of its blocks: BAD (then all inside is), ASIDES, GOOD, None (nothing), or from FOREIGN on the
     number of a foreign region: fresh, which is even, or an odd one if an article is in it."""
     if outer in (BAD, GONE):
         return outer
     if tag in ("nav", "footer", "aside", "menu", "dialog"):
         return BAD
+    if outer == ASIDES and tag in ("article", "main"):
+        return fresh + 1
     contested = outer is not None and outer >= FOREIGN and outer % 2 == 1
-    own, foreign = tag in ("article", "main"), tag == "header" and outer != GOOD and not contested
+    aside, own, foreign = False, tag in ("article", "main"), tag == "header" and outer != GOOD and not contested
     if attributes:
         for name, value in NAMES.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return BAD
+            names = value.split()
+            if (tag in NAMED or tag == "article") and name != "role" and any(map(COMMENTS.fullmatch, names)):
+                return BAD
+            if tag in NAMED and (any(map(ASIDE.fullmatch, names)) if name in ("class", "id") else name == "role" and value.lower() in ROLES):
+                aside = True
             if name in ("class", "id", "role") and tag not in ("body", "html") and FOREIGN_NAME.search(HEADING.sub("", value)):
                 foreign = True
             if tag in ("div", "section", "td") and name in ("class", "id", "role", "itemprop") and OWN.search(value):
                 own = True
+    if aside or outer == ASIDES:
+        return ASIDES
     if foreign:
         return fresh + (tag == "main" or tag == "article" and outer is None)
     if not own or outer == GOOD or contested:
@@ -145,7 +163,7 @@ def blocks(page: str) -> list[tuple[str, int, int | None]]:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts)).replace("\x00", " ")).strip()
             if text and region != GONE:
-                out.append((text, linked, region))
+                out.append((text, linked, BAD if region == ASIDES else region))
             parts, linked = [], 0
 
     def leave(i: int) -> None:
