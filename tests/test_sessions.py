@@ -132,3 +132,26 @@ def test_warp_totals_are_split_all_at_once(spark, tmp_path):
     rows = got(readers.read_all(spark, {"warp": str(tmp_path)}), "session_id", "model_id", "timestamp_ms", *readers.TOKENS, "dedup_key", "workspace_key")
     assert [(r[0], r[1], r[2], sum(r[3:8]), *r[8:]) for r in rows] == [("c", "m", TIME + 500, 100, "warp:c:0:m", "/w/x"), ("c", "n", TIME + 500, 7, "warp:c:1:n", "/w/x"), ("c", None, TIME + 500, 0, "warp:c:3:None", "/w/x"), ("e", "m", None, 0, "warp:e:0:m", None)]
     assert [sum(r[i] for r in rows) for i in range(3, 8)] == [9, 1, 97, 0, 0]  # 107 x shares: 8.66, 0.45, 97.34, 0.41, 0.14
+
+
+def grok(update=None, total=None, at=0, model=None, **more):
+    meta = {"agentTimestampMs": TIME + at} | ({"totalTokens": total} if total is not None else {}) | ({"modelId": model} if model else {})
+    return {"params": {"sessionId": "s", "_meta": meta, "update": {"sessionUpdate": update, **more}}}
+
+
+def test_grok_turns_that_are_completed_and_those_that_only_grow(spark, tmp_path):
+    ask, done = "user_message_chunk", "turn_completed"
+    used = {"inputTokens": 10, "outputTokens": 5, "cachedReadTokens": 4, "reasoningTokens": 2, "totalTokens": 15}
+    put_lines(tmp_path, "%2Fw%2Fx/s/updates.jsonl", grok("other"), grok(total=100, at=1, model="g"), grok(total=160, at=2), grok(ask, at=3), grok(total=170, at=4), grok(total=150, at=5), grok(total=200, at=6), grok(ask, at=7, model="h"), grok(total=230, at=8),
+              grok(done, at=9, usage=used, promptId="p"), grok(done, at=10, usage={**used, "modelCalls": 3}, promptId="p"), grok(ask, at=11), grok(total=300, at=12), grok(done, at=13, usage={**used, "totalTokens": 9}), grok(ask, at=14), grok(total=301, at=15),
+              grok(done, at=16, usage={"inputTokens": 20, "modelUsage": {"b": used, "a": {"inputTokens": 10, "modelCalls": 2}}}), grok(ask, at=17), grok(total=340, at=18))
+    put_lines(tmp_path, "w/only/updates.jsonl", grok(total=40, at=1, model="g"), grok(total=40, at=2))
+    put_lines(tmp_path, "w/cut/updates.jsonl", grok(ask, at=1, model="g"), grok(total=50, at=2), grok(ask, at=3), grok(total=90, at=4), "{", grok(ask, at=5))
+    rows = got(readers.read_all(spark, {"grok": str(tmp_path)}), "input_path", "model_id", "timestamp_ms", *readers.TOKENS, "message_count", "dedup_key", "workspace_key", "is_turn_start")
+    seen = sorted((r[0].split("/")[-2], r[2] - TIME, r[1], sum(r[3:8]), *r[8:]) for r in rows)
+    assert seen == [
+        ("cut", 2, "g", 50, 1, "grok:s:0", "w", True), ("only", 2, "g", 40, 1, "grok:s:0", "w", True),
+        ("s", 2, "g", 60, 1, "grok:s:0", "/w/x", True), ("s", 6, "g", 40, 1, "grok:s:1", "/w/x", True), ("s", 10, "h", 15, 3, "grok:s:p:h", "/w/x", True),
+        ("s", 16, "a", 10, 2, "grok:s:line-17:a", "/w/x", True), ("s", 16, "b", 15, 0, "grok:s:line-17:b", "/w/x", False), ("s", 18, "h", 39, 1, "grok:s:5", "/w/x", True),
+    ]
+    assert [r[3:8] for r in rows if r[9] == "grok:s:p:h"] == [(6, 3, 4, 0, 2)]

@@ -137,14 +137,14 @@ def read_all(spark: SparkSession, roots: dict[str, str], zone: str = "UTC") -> D
     are of zone."""
     from .artifacts import ARTIFACTS, read_artifacts, read_openclaw  # which use this module
     from .cumulative import read_codex
-    from .sessions import read_commandcode, read_dsh, read_junie
+    from .sessions import read_commandcode, read_dsh, read_grok, read_junie
     from .threads import THREADS, read_threads
 
     def read(client: str, root: str) -> DataFrame:
         if client == "junie":
             return read_junie(spark, root, zone)
-        if client in ("commandcode", "dsh"):
-            return (read_commandcode if client == "commandcode" else read_dsh)(spark, root)
+        if client in (lines := {"commandcode": read_commandcode, "dsh": read_dsh, "grok": read_grok}):
+            return lines[client](spark, root)
         if client in THREADS:
             return read_threads(spark, client, root)
         if client == "openclaw":

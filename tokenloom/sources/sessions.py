@@ -1,4 +1,4 @@
-"""Clients whose JSON lines lean on the lines before them in their file: junie, commandcode and dsh.
+"""Clients whose JSON lines lean on the lines before them in their file: junie, commandcode, dsh and grok.
 
 What a line inherits is carried by windows over a file's lines, so a session file is the unit of a task.  Records
 have the columns of readers.COLUMNS and those of readers.SESSION that the client tells.  Lines that can't be decoded
@@ -208,3 +208,107 @@ def read_dsh(spark: SparkSession, root: str) -> DataFrame:
     rows = rows.withColumns({"is_turn_start": F.min_by("is_turn_start", "_n").over(island), "input_seq": F.min("_n").over(island), "last": F.max("_n").over(island)}).where("_n = last")
     rows = normalize_workspace(rows.withColumn("_cwd", F.col("s.cwd")), "_cwd")
     return _records(rows, "dsh", ["workspace_key", "is_turn_start"])
+
+
+GROK_COUNTS = ("inputTokens", "outputTokens", "cachedReadTokens", "cachedWriteTokens", "reasoningTokens")
+_GROK = ", ".join(f"{c}:bigint" for c in (*GROK_COUNTS, "totalTokens", "modelCalls"))
+GROK = f"struct<{_GROK}, modelUsage:map<string, struct<{_GROK}>>>"
+#: Where a line of grok's says a thing, the first place that does counts.
+GROK_PLACES = {
+    "model": ["params.update._meta.modelId", "params._meta.modelId", "params.modelId", "model_id", "modelId", "model"],
+    "session": ["params.sessionId", "params.session_id", "sessionId", "session_id"],
+    "prompt": ["params.update.promptId", "params.update.prompt_id", "params._meta.promptId", "params._meta.prompt_id"],
+    "total": ["params._meta.totalTokens", "params.update._meta.totalTokens", "params.update.totalTokens", "params.totalTokens", "usage.totalTokens", "totalTokens"],
+    "time": ["params._meta.agentTimestampMs", "params.update._meta.agentTimestampMs", "params.timestamp", "timestamp", "ts"],
+}
+
+
+def _grok_detail(u: Column) -> Column:
+    """Disjoint buckets of a turn's or a model's counters, and whether they can be right."""
+    inp, out, read, write, think = (F.coalesce(u[c], F.lit(0)) for c in GROK_COUNTS)
+    r = F.least(think, out)
+    fit = (F.least(inp, out, read, write, think) >= 0) & (F.coalesce(u["modelCalls"], F.lit(1)) > 0) & (F.coalesce(u["totalTokens"], inp + out) == inp + out) & (read + write <= inp)
+    return F.struct((inp - read - write).alias("tok_input"), (out - r).alias("tok_output"), read.alias("tok_cache_read"), write.alias("tok_cache_write"), r.alias("tok_reasoning"), u["modelCalls"].alias("calls"), fit.alias("fit"))
+
+
+def read_grok(spark: SparkSession, root: str) -> DataFrame:
+    """Completed turns with their counters by model, and for turns without one what the running total grew by, split by
+    the usual shares over all such turns of a file.
+
+    A turn begins with a message of the user; before the first, where the total grows.  Totals that fall back are
+    passed over.  Of a prompt's completions the largest counts, the later one of equals.  A completion that can't be
+    right covers its turn without a record.  A line that can't be read, or tells of a state without a time, ends the
+    file.  If no turn grows and none is completed, the total itself is a record.  Files beside the updates aren't read."""
+    import pandas as pd
+
+    from ..functions.imputation import SHARES, allocate_batch
+
+    lines = ordered_lines(spark, root, "updates.jsonl").withColumn("v", F.try_parse_json("value"))
+    text = lambda p: F.try_variant_get("v", f"$.{p}", "string")
+    said = {c: F.coalesce(*[_some(text(p)) for p in GROK_PLACES[c]]) for c in ("model", "session", "prompt", "total")} | {"time": F.coalesce(*[decode_timestamp(text(p)) for p in GROK_PLACES["time"]])}
+    file = Window.partitionBy("input_path").orderBy(*PLACE)
+    rows = lines.select("input_path", *PLACE, F.col("v").isNull().alias("damaged"), text("params.update.sessionUpdate").alias("kind"), F.from_json(F.to_json(F.try_variant_get("v", "$.params.update.usage", "variant")), GROK).alias("u"), *[c.alias(n) for n, c in said.items()])
+    rows = rows.withColumns({"_n": F.row_number().over(file), "raw": F.col("total"), "total": F.col("total").try_cast("bigint"), "done": F.coalesce((F.col("kind") == "turn_completed") & F.col("u").isNotNull(), F.lit(False)), "asks": F.coalesce(F.col("kind") == "user_message_chunk", F.lit(False))})
+    parts = F.array_sort(F.transform(F.map_entries("u.modelUsage"), lambda e: F.struct(F.trim(e["key"]).alias("model"), _grok_detail(e["value"]).alias("d"))))
+    rows = rows.withColumns({"parts": F.when(F.col("done") & (F.size("u.modelUsage") > 0), parts), "top": F.when(F.col("done"), _grok_detail(F.col("u")))})
+    added = lambda *names: F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, e: a + sum((e["d"][n] for n in names[1:]), e["d"][names[0]]))
+    whole = {"inputTokens": added("tok_input", "tok_cache_read", "tok_cache_write"), "outputTokens": added("tok_output", "tok_reasoning"), "cachedReadTokens": added("tok_cache_read"), "cachedWriteTokens": added("tok_cache_write"), "totalTokens": added(*TOKENS)}
+    agrees = F.col("u.reasoningTokens").isNull() | (F.least("u.reasoningTokens", whole["outputTokens"]) == added("tok_reasoning"))
+    for name, value in whole.items():
+        agrees = agrees & (F.coalesce(F.col(f"u.{name}"), value) == value)
+    calls = F.when(F.forall("parts", lambda e: e["d"]["calls"].isNotNull()), F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, e: a + e["d"]["calls"]))
+    agrees = agrees & F.forall("parts", lambda e: e["d"]["fit"] & ((e["model"] != "") | (sum((e["d"][c] for c in TOKENS[1:]), e["d"]["tok_input"]) == 0))) & (F.coalesce("u.modelCalls", F.lit(1)) > 0) & (F.coalesce(F.col("u.modelCalls") == calls, F.lit(True)))
+    size = F.when(F.col("parts").isNotNull(), whole["totalTokens"]).otherwise(sum((F.col(f"top.{c}") for c in TOKENS[1:]), F.col("top.tok_input")))
+    so_far, before = file.rowsBetween(Window.unboundedPreceding, 0), file.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"sound": F.col("done") & F.when(F.col("parts").isNotNull(), agrees).otherwise(F.col("top.fit")), "size": size})
+    rows = rows.withColumns({"bears": (F.col("asks") | F.col("raw").isNotNull() | (F.col("sound") & (F.col("size") > 0))) & (F.col("sound") | ~F.col("done"))})
+    known = F.last(F.when(F.col("bears"), F.col("model")), ignorenulls=True)
+    nameless = F.col("sound") & F.col("parts").isNull() & (F.col("size") > 0) & F.coalesce("model", known.over(before)).isNull()
+    rows = rows.withColumn("nameless", nameless).withColumns({"bears": F.col("bears") & ~F.col("nameless"), "wrong": F.col("done") & (~F.col("sound") | F.col("nameless"))})
+    ends = F.col("damaged") | (~F.col("wrong") & F.col("raw").isNotNull() & F.col("total").isNull()) | (F.col("bears") & (F.col("time").isNull() | F.coalesce(F.col("total") < 0, F.lit(False))))
+    rows = rows.withColumn("ended", F.max(ends.cast("int")).over(so_far) > 0).withColumn("cut", F.max(F.col("ended").cast("int")).over(Window.partitionBy("input_path")) > 0).where("not ended and (bears or wrong)")
+    counted = F.when(F.col("bears"), F.col("total"))
+    rows = rows.withColumns({"model": F.last(F.when(F.col("bears"), F.col("model")), ignorenulls=True).over(so_far), "session": F.coalesce(F.when(F.col("wrong"), F.col("session")), F.last(F.when(F.col("bears"), F.col("session")), ignorenulls=True).over(so_far)), "high": F.max(counted).over(before), "turn": F.sum(F.col("asks").cast("int")).over(so_far)})
+    rows = rows.withColumns({"grows": F.coalesce(counted > F.col("high"), F.col("high").isNull() & counted.isNotNull() & (counted > 0) & (F.col("turn") > 0), F.lit(False)), "holds": F.coalesce(counted >= F.coalesce("high", F.lit(0)), F.lit(False)), "completes": F.col("sound") & (F.col("size") > 0) & F.col("bears")})
+    active = (F.col("turn") > 0) | (F.coalesce(F.sum(F.col("grows").cast("int")).over(before), F.lit(0)) > 0)
+    one = Window.partitionBy("input_path", "session", F.coalesce("prompt", F.concat(F.lit("line-"), "_n"))).orderBy("_n")
+    seen = F.coalesce(F.sum(F.col("completes").cast("int")).over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
+    rows = rows.withColumn("covers", (F.col("completes") | F.col("wrong")) & ~seen & active)
+    decoded = lambda c: F.try_url_decode(F.regexp_replace(c, r"\+", "%2B"))
+    folder = decoded(decoded(F.regexp_extract("input_path", "([^/]+)/[^/]+/[^/]+$", 1)))  # by the path, and by the client
+
+    finished = rows.where("completes").withColumn("key", F.coalesce("prompt", F.concat(F.lit("line-"), "_n")))
+    finished = finished.groupBy("input_path", "session", "key").agg(F.max_by(F.struct("_n", "time", "parts", "top", "model", F.col("u.modelCalls").alias("all_calls")), F.struct("size", "_n")).alias("c"))
+    details = F.coalesce(F.filter("c.parts", lambda e: sum((e["d"][c] for c in TOKENS[1:]), e["d"]["tok_input"]) > 0), F.array(F.struct(F.col("c.model").alias("model"), F.col("c.top").alias("d"))))
+    finished = finished.withColumn("alone", F.coalesce(F.size("c.parts") == 1, F.lit(True))).select("input_path", "session", "key", "c", "alone", F.posexplode(details).alias("_i", "e"))
+    finished = finished.select(
+        "input_path", F.col("session").alias("session_id"), F.col("e.model").alias("model_id"), F.col("c.time").alias("timestamp_ms"), *[F.col(f"e.d.{c}").alias(c) for c in TOKENS], (F.col("_i") == 0).alias("is_turn_start"),
+        F.coalesce("e.d.calls", F.when(F.col("alone"), F.col("c.all_calls")), F.lit(0)).cast("int").alias("message_count"), F.concat_ws(":", F.lit("grok"), "session", "key", "e.model").alias("dedup_key"), (F.col("c._n") * 4294967296 + F.col("_i")).alias("input_seq"))
+
+    high = F.greatest(F.coalesce(F.max(counted), F.lit(0)), F.coalesce(F.min_by("high", "_n"), F.lit(0)))
+    base = F.when(F.col("turn") > 0, F.coalesce(F.min_by("high", "_n"), F.lit(0))).otherwise(F.min_by(counted, F.when(counted.isNotNull(), F.col("_n"))))
+    model = F.when(F.col("turn") > 0, F.min_by("model", F.when(F.col("model").isNotNull(), F.col("_n")))).otherwise(F.min_by("model", F.when(F.col("grows"), F.col("_n"))))
+    turns = rows.groupBy("input_path", "turn").agg(
+        (high - base).alias("delta"), model.alias("model_id"), F.max_by("time", F.when(F.col("grows"), F.col("_n"))).alias("timestamp_ms"), F.bool_or("covers").alias("covered"), F.max("_n").alias("_n"), F.bool_or(F.col("completes") | F.col("wrong")).alias("told"),
+        high.alias("high"), F.max_by("time", F.when(F.col("holds"), F.col("_n"))).alias("held"), F.max_by("model", "_n").alias("latest"), F.max_by("session", "_n").alias("session"), F.bool_or("cut").alias("cut"))
+    all_turns = Window.partitionBy("input_path")
+    turns = turns.withColumns({
+        "session_id": F.last("session", ignorenulls=True).over(all_turns.orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "grew": F.max("delta").over(all_turns), "told": F.bool_or("told").over(all_turns),
+        "index": F.col("turn") - 1 + F.max(F.when((F.col("turn") == 0) & (F.col("delta") > 0), 1).otherwise(0)).over(all_turns), "last": F.max("turn").over(all_turns),
+    })
+    only = ~F.col("told") & ~F.col("cut") & (F.coalesce("grew", F.lit(0)) <= 0) & (F.col("turn") == F.col("last")) & (F.col("high") > 0)
+    pending = (F.col("delta") > 0) & ~F.col("covered") & ~(F.col("cut") & (F.col("turn") == F.col("last")))
+    turns = turns.withColumn("only", only).where(pending | only).select(
+        "input_path", "session_id", F.when(F.col("only"), F.col("latest")).otherwise(F.col("model_id")).alias("model_id"), F.when(F.col("only"), F.col("held")).otherwise(F.col("timestamp_ms")).alias("timestamp_ms"), F.when(F.col("only"), F.col("high")).otherwise(F.col("delta")).alias("delta"),
+        F.concat_ws(":", F.lit("grok"), "session_id", F.when(F.col("only"), 0).otherwise(F.col("index"))).alias("dedup_key"), (F.col("_n") * 4294967296).alias("input_seq"))
+
+    def split(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("input_seq")
+        shares = pd.DataFrame(allocate_batch([int(x) for x in group["delta"]], SHARES), columns=TOKENS, index=group.index)
+        return pd.concat([group.drop(columns="delta"), shares], axis=1)
+
+    schema = "input_path string, session_id string, model_id string, timestamp_ms bigint, dedup_key string, input_seq bigint, " + ", ".join(f"{c} bigint" for c in TOKENS)
+    grown = turns.groupBy("input_path").applyInPandas(split, schema).withColumns({"is_turn_start": F.lit(True), "message_count": F.lit(1)})
+    made = finished.unionByName(grown).withColumns({"provider_id": F.lit("xai"), "client": F.lit("grok")})
+    made = normalize_workspace(made.withColumn("_folder", folder), "_folder")
+    return made.select(*[F.col(c).cast("bigint") if c in (*TOKENS, "timestamp_ms", "input_seq") else F.col(c) for c in COLUMNS], "workspace_key", "is_turn_start")
