@@ -155,3 +155,24 @@ def test_grok_turns_that_are_completed_and_those_that_only_grow(spark, tmp_path)
         ("s", 16, "a", 10, 2, "grok:s:line-17:a", "/w/x", True), ("s", 16, "b", 15, 0, "grok:s:line-17:b", "/w/x", False), ("s", 18, "h", 39, 1, "grok:s:5", "/w/x", True),
     ]
     assert [r[3:8] for r in rows if r[9] == "grok:s:p:h"] == [(6, 3, 4, 0, 2)]
+
+
+def test_claude_copies_advisors_and_sidechains(spark, tmp_path):
+    from tokenloom.plans.answers import usage_from
+
+    def said(n, out, key="m", request="q", more=None, **line):
+        usage = {"input_tokens": n, "output_tokens": out, **(more or {})}
+        return {"type": "assistant", "sessionId": "s", "cwd": "/w/", "timestamp": "2024-01-01T00:00:00Z", "requestId": request, "message": {"id": key, "model": "claude-x", "usage": usage}, **line}
+
+    hour = {"cache_creation_input_tokens": 9, "cache_creation": {"ephemeral_1h_input_tokens": 4}}
+    advice = {"iterations": [{"type": "message", "model": "z", "input_tokens": 99}, {"type": "advisor_message", "model": "claude-o", "input_tokens": 7, "output_tokens": 1}, {"type": "advisor_message", "model": " "}]}
+    put_lines(tmp_path, "p/s.jsonl", said(50, 1), said(5, 8, more=hour), said(60, 3, more=advice), said(1, 1, key=None), said(1, 1, key=None), said(2, 2, "k", None, providerId="aws"), "{", said(3, 1, "k", None, providerId="gcp"))
+    put_lines(tmp_path, "p/agent-1.jsonl", {"type": "user", "isSidechain": True, "sessionId": "s"}, said(4, 4, "side", sessionId="other"), said(5, 9, more=advice))
+    usage, rejected = usage_from(spark, {"claude": str(tmp_path)}, merge_claude=True)
+    seen = sorted((r["session_id"], r["model_id"], r["tok_input"], r["tok_output"], r["tok_cache_write"], r["tok_write_1h"], r["message_count"], r["workspace_key"], r["is_main_session"], r["billing_provider"]) for r in usage.collect())
+    # agent-1.jsonl comes first, so the identity of m and of its advisor's call is the sidechain's
+    assert seen == [
+        ("s", "claude-o", 7, 1, 0, 0, 0, "/w", False, None), ("s", "claude-x", 1, 1, 0, 0, 1, "/w", True, None), ("s", "claude-x", 1, 1, 0, 0, 1, "/w", True, None), ("s", "claude-x", 3, 2, 0, 0, 1, "/w", True, None),
+        ("s", "claude-x", 4, 4, 0, 0, 1, "/w", False, None), ("s", "claude-x", 5, 9, 9, 4, 1, "/w", False, None),
+    ]
+    assert rejected.count() == 0

@@ -70,6 +70,18 @@ def merged(usage: DataFrame, split: str, key: str = "dedup_key") -> DataFrame:
     return whole.unionByName(free)
 
 
+def merge_copies(usage: DataFrame, split: str, one_hour: str, key: str = "dedup_key") -> DataFrame:
+    """merged() for whole records: all other columns are the first copy's.  usage has billing_provider, which is null
+    where copies name different ones."""
+    keyed, free = usage.where(F.col(key).isNotNull()), usage.where(F.col(key).isNull())
+    most = [c for c in (*TOKENS, one_hour) if c != "tok_input"]
+    made = keyed.groupBy("client", key).agg(
+        F.min_by(F.struct(*[F.col(c) for c in usage.columns]), "input_seq").alias("_r"), F.coalesce(F.max(F.when(F.col(split), F.col("tok_input"))), F.max("tok_input")).alias("_tok_input"),
+        *[F.max(c).alias(f"_{c}") for c in most], F.min("billing_provider").alias("_p"), F.max("billing_provider").alias("_q"))
+    new = {"tok_input": F.col("_tok_input"), "billing_provider": F.when(F.col("_p") == F.col("_q"), F.col("_p"))} | {c: F.col(f"_{c}") for c in most}
+    return made.select(*[new.get(c, F.col(f"_r.{c}")).alias(c) for c in usage.columns]).unionByName(free)
+
+
 def snapshot_residual(usage: DataFrame, snapshots: DataFrame) -> DataFrame:
     """What snapshots (session_id, model_id, tokens) have beyond the records: maximum minus sum, not below 0."""
     most = snapshots.groupBy("session_id", "model_id").agg(*[F.max(c).alias(c) for c in TOKENS])

@@ -22,13 +22,14 @@ def arrival(records: DataFrame) -> DataFrame:
     return records.withColumn("input_seq", place)
 
 
-def usage_from(spark: SparkSession, roots: dict[str, str], settings: Settings | None = None, rules: list[tuple[str, str]] = (), prices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def usage_from(spark: SparkSession, roots: dict[str, str], settings: Settings | None = None, rules: list[tuple[str, str]] = (), prices: DataFrame | None = None, merge_claude: bool = False) -> tuple[DataFrame, DataFrame]:
     """(usage, rejected): the records of clients under roots, ready for facts, and those that the gate rejected, with
     their reason.
 
     Records are read in one order; models get their canonical id (distinct spellings are looked at once) and
-    providers theirs; the gate splits them; of records with one key the first stays; prices (scoped_catalog() rows
-    of all catalogs) give a cost, or none.  An unpriced id costs nothing and is never complete."""
+    providers theirs; the gate splits them; of records with one key the first stays (with merge_claude, claude's,
+    which are written anew while a message grows, are merged instead); prices (scoped_catalog() rows of all catalogs)
+    give a cost, or none.  An unpriced id costs nothing and is never complete."""
     settings = settings or Settings()
     wanted = selected_clients(settings.clients, sorted(roots))
     records = arrival(readers.read_all(spark, {c: roots[c] for c in wanted}, settings.zone))
@@ -37,10 +38,16 @@ def usage_from(spark: SparkSession, roots: dict[str, str], settings: Settings |
     spelled = made.select("provider_id", "model_id").distinct().select(F.col("provider_id").alias("_p"), F.col("model_id").alias("_m"), providers.finalized_provider(F.col("provider_id"), F.coalesce("model_id", F.lit(""))).alias("grouped"))
     made = made.join(spelled, F.col("provider_id").eqNullSafe(F.col("_p")) & F.col("model_id").eqNullSafe(F.col("_m")), "left").withColumn("provider_id", F.col("grouped")).drop("_p", "_m", "grouped", "raw_model_id")
     time = F.timestamp_millis("timestamp_ms").cast("timestamp_ntz")
-    made = made.withColumns({"ts": time, "machine": reports.machine_label(F.col("input_path"), settings.machine_labels, settings.local_label), "service_tier": F.lit(None).cast("string"), "is_aggregate": F.lit(False), "tok_write_1h": F.lit(0).cast("bigint"), "is_turn_start": F.coalesce("is_turn_start", F.lit(False))})
+    made = made.withColumns({"ts": time, "machine": reports.machine_label(F.col("input_path"), settings.machine_labels, settings.local_label), "service_tier": F.lit(None).cast("string"), "is_aggregate": F.lit(False), "tok_write_1h": F.coalesce("tok_write_1h", F.lit(0).cast("bigint")), "is_turn_start": F.coalesce("is_turn_start", F.lit(False))})
     made = calendar.localize(made, "ts", settings.zone)
-    gated = quality.gate(made)
-    kept = quality.first_wins(gated.where("accepted").drop("reason", "accepted"))
+    gated = quality.gate(made, "tok_write_1h")
+    fit = gated.where("accepted").drop("reason", "accepted")
+    merging, copied = merge_claude and "claude" in wanted, F.col("client") == "claude"
+    kept = fit.where(~copied) if merging else fit
+    kept = quality.first_wins(kept)
+    if merging:
+        kept = kept.unionByName(quality.merge_copies(fit.where(copied), "input_split", "tok_write_1h"))
+    kept = kept.drop("input_split")
     kept = kept.withColumn("tokens", sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0])))
     if prices is None:
         priced = kept.withColumns({"cost": F.lit(0.0), "complete": F.lit(False), "pricing_error": F.lit(None).cast("string")})

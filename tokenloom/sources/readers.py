@@ -18,8 +18,8 @@ from ..functions.calendar import decode_timestamp
 from ..plans.adapter import TOKENS
 
 COLUMNS = ["client", "model_id", "provider_id", "session_id", "timestamp_ms", *TOKENS, "message_count", "dedup_key", "input_path", "input_seq"]
-#: What some clients say of a record's session and turn; null for others.
-SESSION = {"workspace_key": "string", "is_main_session": "boolean", "agent": "string", "is_turn_start": "boolean"}
+#: What some clients say of a record's session, turn and buckets; null for others.
+SESSION = {"workspace_key": "string", "is_main_session": "boolean", "agent": "string", "is_turn_start": "boolean", "tok_write_1h": "bigint", "input_split": "boolean"}
 #: Those of them that a database's rows may have after the dedup key.
 EMBEDDED_SESSION = {"opencode": ["workspace_key", "is_main_session"], "warp": ["workspace_key"]}
 
@@ -136,6 +136,7 @@ def read_all(spark: SparkSession, roots: dict[str, str], zone: str = "UTC") -> D
     """All clients' records, in one frame with SESSION's columns, in order of client id.  Times that name no zone
     are of zone."""
     from .artifacts import ARTIFACTS, read_artifacts, read_openclaw  # which use this module
+    from .claude import read_claude
     from .cumulative import read_codex
     from .sessions import read_commandcode, read_dsh, read_grok, read_junie
     from .threads import THREADS, read_threads
@@ -143,7 +144,7 @@ def read_all(spark: SparkSession, roots: dict[str, str], zone: str = "UTC") -> D
     def read(client: str, root: str) -> DataFrame:
         if client == "junie":
             return read_junie(spark, root, zone)
-        if client in (lines := {"commandcode": read_commandcode, "dsh": read_dsh, "grok": read_grok}):
+        if client in (lines := {"claude": read_claude, "commandcode": read_commandcode, "dsh": read_dsh, "grok": read_grok}):
             return lines[client](spark, root)
         if client in THREADS:
             return read_threads(spark, client, root)
