@@ -132,6 +132,60 @@ def test_piecewise_encoding_is_the_library_s(docs, name):
         assert np.frombuffer(ids, "<u2").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def column_ids(encoder, texts):
+    import pyarrow as pa
+
+    out = []
+    for counts, ids in encoder.encode_column(pa.array(texts, pa.string())):
+        out += [own.tolist() for own in np.split(ids, np.cumsum(counts))[:-1]]
+    return out
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_column_encoding_is_the_library_s(docs, name, monkeypatch):
+    from tokenizers import Tokenizer
+
+    theirs, rng = Tokenizer.from_file(P.path(name)), np.random.default_rng(12)
+    texts = [*ODD, *list(docs.values())[::7], "  ", "J\u030cx J\u030c. ǰ", "l'ÉTÉ l'été, d'É!! É'S É's. x'.", "ΟΔΟΣ. ΟΔΟΣ", "\x01 a\x01b é\x01.", "<|endoftext|>", "中文。 中文.", "a<| b", "\t\u3000"]
+    alphabet = list("abTsÉé'.,;!*<|> \n\n") + ["İ", "µ", "ß", "e\u0301", "\u0307", "\u0338", "K", "中", "²", "\x01", " ab", "\t"]
+    texts += ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 20, 5000)]
+    want = [theirs.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert column_ids(tokens.TextEncoder(P.path(name)), texts) == want
+    monkeypatch.setattr(tokens, "GROUPED_BYTES", 1000)  # many runs, and pieces forgotten between them
+    assert column_ids(tokens.TextEncoder(P.path(name), 50), texts) == want
+
+
+def test_a_word_reaches_the_library_once_whatever_its_case_and_marks():
+    encoder, asked = tokens.TextEncoder(P.path("word_bpe_49k.json")), []
+
+    class Asked:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split())
+            return library.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            asked.extend(text.split())
+            return library.encode(text, **options)
+
+    library, encoder.tokenizer = encoder.tokenizer, Asked()
+    texts = ["Übung übung übung!! ÜBUNG***", "word Word, WORD. Übung.", "WORD!! word***"]
+    assert column_ids(encoder, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == ["!!", "***", ",", ".", "word", "übung"]
+
+
+def test_pieces_are_handed_over_in_small_batches(spark, monkeypatch):
+    texts = [None, "a " * 5000, "b", "", "c " * 4096, "d " * 2047]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {(d, k): (k * 2048, min(2048, n - k * 2048)) for d, n in enumerate([1, 5001, 2, 1, 4097, 2048]) for k in range(-(-n // 2048))}
+    for flushed in (packing.FLUSHED, 3000):
+        monkeypatch.setattr(packing, "FLUSHED", flushed)
+        rows = packing.packed_documents(docs, P.path("word_bpe_49k.json")).collect()
+        assert {(r["doc_id"], r["piece"]): (r["start"], r["length"]) for r in rows} == want and len(rows) == len(want)
+        assert all(len(r["ids"]) == 4 * r["length"] and r["ids_crc32"] == zlib.crc32(r["ids"]) for r in rows)
+        ends = {(r["doc_id"], r["piece"]) for r in rows if r["ids"][-4:] == bytes(4)}
+        assert ends == {max(k for k in want if k[0] == d) for d in range(len(texts))}
+
+
 def test_packing(spark, sf_dir):
     rows = registry.op3_best_fit_packing(spark, sf_dir).collect()
     spans = collections.defaultdict(list)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_names, map_arrow, materialize, ship
-from .tokens import encoder, texts_of
+from .tokens import encoder
 
 #: (part, groups): pieces longer than capacity / part are large, and in so many groups.  Each is planned
 #: and the plan with the fewest sequences holds, of equal ones the first.  The last is best fit alone in all
@@ -190,27 +190,29 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        encode, end = encoder(tokenizer).encode_all, np.array([end_id], "<u2").tobytes()
+        part, seen, encode = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(tokenizer).encode_column
 
-        def flush(out: list[list], kind: pa.DataType) -> pa.RecordBatch:
-            rank = ranks_of(np.array(out[3], np.int64), seen)
+        def flush(doc: pa.Array, piece: np.ndarray, length: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+            rank = ranks_of(length, seen)
             place = pa.StructArray.from_arrays([pa.array(np.full(len(rank), part, np.int32)), pa.array(rank)], ["part", "rank"])
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, (kind, pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)), place], names)
+            at = np.concatenate([[0], np.cumsum(length) * 4]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), len(rank), [None, pa.py_buffer(at), pa.py_buffer(data.astype("<u4"))])
+            return pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), ids, place], names)
 
         for batch in batches:
-            out, size = [[] for _ in names[:-1]], 0
-            for doc_id, own in zip(batch.column(0), encode(texts_of(batch.column(1))), strict=True):
-                ids = np.frombuffer(own + end, dtype="<u2").astype("<u4")
-                for k in range(0, len(ids), capacity):
-                    data = ids[k : k + capacity].tobytes()
-                    for column, value in zip(out, (doc_id.as_py(), k // capacity, k, len(data) // 4, data), strict=True):
-                        column.append(value)
-                size += len(ids)
-                if size >= FLUSHED:
-                    yield flush(out, batch.schema[0].type)
-                    out, size = [[] for _ in names[:-1]], 0
-            yield flush(out, batch.schema[0].type)
+            done = 0
+            for counts, ids in encode(batch.column(1)):
+                ids, whole = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                pieces = -(-whole // capacity)
+                doc = np.repeat(np.arange(len(whole)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(whole[doc] - piece * capacity, capacity)
+                reach = np.cumsum(length)
+                bounds = [0, *(np.flatnonzero(np.diff(reach // FLUSHED)) + 1).tolist(), len(doc)]
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    own = slice(a, b)
+                    yield flush(batch.column(0).take(pa.array(doc[own] + done)), piece[own], length[own], ids[reach[a] - length[a] : reach[b - 1]])
+                done += len(whole)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(rows, run, f"doc_id {rows.schema[0].dataType.simpleString()}, piece int, start long, length long, ids binary, place struct<part:int,rank:bigint>")
